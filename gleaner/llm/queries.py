@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, rules, secrets
+from . import neardup, packing, rules, secrets
 from ._spark import table
 
 
@@ -28,8 +28,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op9_quality_rules, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
