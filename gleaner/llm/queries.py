@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, rules, secrets
+from . import neardup, packing, quality, rules, secrets
 from ._spark import table
 
 
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -33,7 +37,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op5_packing, op9_quality_rules, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_neighbours, op5_packing, op9_quality_rules, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
