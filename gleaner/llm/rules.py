@@ -202,9 +202,12 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, cut: float = CUT
     fits = S.kept(fitted(stats, share, steps, least))
     small = fits.count() <= MOST_BROADCAST
     rows = stats
-    for level in (2, 1, 0):
+    for level in (2, 1):
         own = fits.select(F.col("key").alias(f"key{level}"), F.struct("mean", "inverse", "scale").alias(f"fit{level}"))
         rows = rows.withColumn(f"key{level}", _key(level)).join(F.broadcast(own) if small else own, f"key{level}", "left")
-    rows = rows.withColumn("fit", F.coalesce("fit2", "fit1", "fit0")).select("*", "fit.*")
+    last = fits.where("key = '0'").first()  # the fit of all rows: one row, or none without rows
+    numbers = lambda values: F.array(*map(F.lit, values))
+    widest = [F.struct(numbers(last["mean"]).alias("mean"), numbers(last["inverse"]).alias("inverse"), F.lit(last["scale"]).alias("scale"))] if last else []
+    rows = rows.withColumn("fit", F.coalesce("fit2", "fit1", *widest)).select("*", "fit.*")
     rows = rows.withColumn("distance", _squared() / F.col("scale"))
     return rows.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"), "distance")
