@@ -20,6 +20,9 @@ _R = 0x9E3779B97F4A7C15
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: ASCII but for letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -87,10 +90,10 @@ class Words:
         return np.diff(self.first)
 
 
-def split(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """``fold``: A-Z hash as a-z; nothing else is folded."""
+def split(data: np.ndarray, offsets: np.ndarray, fold: bool = False, between: np.ndarray = SPACE) -> Words:
+    """``fold``: A-Z hash as a-z; nothing else is folded.  ``between``: the bytes that separate words."""
     n = len(offsets) - 1
-    word = ~SPACE[data]
+    word = ~between[data]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]

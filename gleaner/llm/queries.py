@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, neardup, packing, quality, rules, secrets, urls
+from . import decontaminate, language, neardup, packing, quality, rules, secrets, urls
 from ._spark import table
 
 
@@ -24,6 +24,10 @@ def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -48,7 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_neighbours, op5_packing, op7_url_trust, op8_language, op9_quality_rules, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_neighbours, op3_decontamination, op5_packing, op7_url_trust, op8_language, op9_quality_rules, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
