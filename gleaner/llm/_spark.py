@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python; texts can be long.
-ARROW_ROWS = 512
+#: Rows, and bytes, of an Arrow batch that goes to Python; texts can be long.
+ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -20,6 +20,7 @@ def ready(spark: SparkSession) -> None:
     local tests, a temporary folder of this machine is taken.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
 
