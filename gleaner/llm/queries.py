@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lm, neardup, packing, quality, rules, secrets, urls
+from . import decontaminate, language, licenses, lm, neardup, packing, quality, rules, secrets, urls
 from ._spark import table
 
 
@@ -54,6 +54,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+
+
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
 
 
@@ -74,7 +79,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_neighbours, op3_decontamination, op4_stupid_backoff, op5_packing, op7_url_trust, op8_language, op9_quality_rules, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_neighbours, op3_decontamination, op4_stupid_backoff, op5_packing, op6_license_scan, op7_url_trust, op8_language, op9_quality_rules, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
