@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -128,3 +129,18 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: f
     scored = S.map_arrow(own, step, "doc_id bigint, score double")
     predicted: Column = (F.col("score") >= threshold).cast("int")
     return scored.select("doc_id", S.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def predicate(spark, space: Space | None, threshold: float = 0.7):
+    """A column function of texts: whether they score ``threshold`` or more; without a fitted space all do."""
+    model = spark.sparkContext.broadcast(space)
+
+    @F.pandas_udf("boolean")
+    def passes(texts: pd.Series) -> pd.Series:
+        if model.value is None:
+            return pd.Series(True, index=texts.index)
+        column = pa.array(texts, pa.large_string(), from_pandas=True)
+        scores = [model.value.scores(terms(data, offsets)) for _, _, data, offsets in W.blocks(column)]
+        return pd.Series(np.concatenate(scores) >= threshold if scores else np.zeros(0, bool))
+
+    return passes

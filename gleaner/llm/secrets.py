@@ -27,6 +27,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -285,8 +286,6 @@ def redact_text(text: str) -> str:
 
 def redacted(text: Column) -> Column:
     """``redact_text`` of a string column; null stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(redact_text, na_action="ignore")
