@@ -10,9 +10,12 @@
    text has rarer ones; keys of one text alone need no list at all.
 4. In each list every text is paired with the smallest; pairs are merged over lists, counted on all coordinates,
    compared by size and confirmed on full sets.  Lists whose texts these links already join are skipped.
-5. Texts of a list that are still in different components are paired across them, all of them: short lists by a
-   join, long ones in blocks of ``BLOCK`` texts that compare signatures and give out only candidates.
-   Confirmed pairs are joined with the first links to the final components.
+5. What is left are lists that still hold several components, such as families of texts at 0.7 and the groups of
+   copies among them.  A list is cut into blocks, and each pair of blocks is a cell: one task looks through its
+   signatures for candidates across components and gives out no pairs, only the texts that have any.  Their full
+   sets then meet in the cell, where every pair across components is counted exactly and a link goes out only if
+   it joins two components, so rows grow with texts and not with pairs.  These links join the first ones to the
+   final components.
 
 Only texts of candidates are read again for their sets.  Hot lists are counted by map-side aggregation and joined
 with skew splitting; nothing about documents reaches the driver.
@@ -37,10 +40,10 @@ from .components import components
 
 COORDINATES, AGREE = 64, 34
 PREFIX = COORDINATES - AGREE + 1
-#: Texts of a list up to which pairs across components come from a join.
-SHORT = 64
-#: Texts of a block of a longer list.
-BLOCK = 256
+#: Texts, and shingles, of a block of a list whose components are compared with each other.
+BLOCK, WEIGHT = 4096, 1 << 21
+#: Ids of candidates up to which they are broadcast to the scan of texts: 8 bytes each, some 40 in a hash table.
+MOST_BROADCAST = 250_000
 
 _A = W.mix(np.arange(1, COORDINATES + 1, dtype=W.U) * W.U(0xD1342543DE82EF95)) | W.U(1)
 _B = W.mix(np.arange(1, COORDINATES + 1, dtype=W.U) * W.U(0x2545F4914F6CDD1D))
@@ -67,17 +70,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def _signatures(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """(rows, COORDINATES) keys: the coordinate's number above the 31 leading bits of its minimum; rows without a shingle: 0."""
-    out = np.zeros((len(edges) - 1, COORDINATES), np.int64)
+    """(rows, COORDINATES): the 31 leading bits of each coordinate's minimum; rows without a shingle: 0."""
+    out = np.zeros((len(edges) - 1, COORDINATES), np.int32)
     full = np.flatnonzero(np.diff(edges))
     if len(full):
         for i in range(COORDINATES):
-            out[full, i] = (np.minimum.reduceat(hashes * _A[i] + _B[i], edges[:-1][full]) >> W.U(33)).astype(np.int64) + (i << 32)
+            out[full, i] = (np.minimum.reduceat(hashes * _A[i] + _B[i], edges[:-1][full]) >> W.U(33)).astype(np.int32)
     return out
 
 
 def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n, f1, f2 (fingerprint), keys (one per coordinate; empty for an empty set)."""
+    """doc_id, n, f1, f2 (fingerprint), minima (one per coordinate; none for an empty set)."""
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")
@@ -90,13 +93,14 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             np.cumsum(W.mix(hashes + W.U(7)), out=sums[0][1:])
             np.cumsum(W.mix(hashes ^ W.U(0xABCDEF0123456789)), out=sums[1][1:])
             prints = [(s[edges[1:]] - s[edges[:-1]]).view(np.int64) for s in sums]
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(keys.ravel()))], ["doc_id", "n", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(prints[0]), pa.array(prints[1]), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(keys.ravel()))], ["doc_id", "n", "f1", "f2", "minima"])
 
-    return S.map_arrow(S.documents(docs, id_col, text_col), step, "doc_id bigint, n bigint, f1 bigint, f2 bigint, keys array<bigint>")
+    return S.map_arrow(S.documents(docs, id_col, text_col), step, "doc_id bigint, n bigint, f1 bigint, f2 bigint, minima array<int>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hashes) of the documents in ``wanted``."""
+    """(doc_id, hashes) of the documents in ``wanted``: broadcast up to ``MOST_BROADCAST`` ids, else joined by a shuffle."""
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")
@@ -104,15 +108,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str
             hashes, edges = shingle_sets(data, offsets, k)
             yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["doc_id", "hashes"])
 
-    return S.map_arrow(S.documents(docs, id_col, text_col).join(wanted.hint("shuffle_hash"), "doc_id", "left_semi"), step, "doc_id bigint, hashes binary")
+    return S.map_arrow(S.documents(docs, id_col, text_col).join(wanted, "doc_id", "left_semi"), step, "doc_id bigint, hashes binary")
 
 
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of representatives that are candidates by all coordinates and size and pass on full sets."""
-    own = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
-    likely = pairs.join(own("a"), "a").join(own("b"), "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("keys_a", "keys_b")) >= AGREE))
+    own = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("minima").alias(f"minima_{c}"))
+    likely = pairs.join(own("a"), "a").join(own("b"), "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("minima_a", "minima_b")) >= AGREE))
     likely = S.kept(likely.select("a", "b"))
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = S.kept(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = S.kept(_sets(docs, wanted, k, id_col, text_col))
     own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}"))
 
@@ -132,7 +136,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent
 
 def _prefixes(reps: DataFrame) -> DataFrame:
     """(doc_id, key) of the lists that a representative stays in: those of its PREFIX rarest keys that others share."""
-    posts = reps.select("doc_id", F.explode("keys").alias("key"))
+    posts = reps.select("doc_id", F.posexplode("minima").alias("i", "least")).select("doc_id", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("least")).alias("key"))
     shared = posts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     own = posts.join(shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("own"))  # at most COORDINATES
     stays = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - (COORDINATES - PREFIX)))
@@ -145,74 +149,118 @@ def _stars(lists: DataFrame) -> DataFrame:
     return lists.join(least, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
 
 
-def _across(lists: DataFrame, parts: DataFrame, reps: DataFrame, short: int, block: int) -> DataFrame:
-    """(a, b), a < b: pairs of a list in different components."""
+def _across(lists: DataFrame, parts: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int, weight: int) -> DataFrame | None:
+    """Links (a, b) between components that share a list; None if no list holds two components."""
     in_parts = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = in_parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").drop("low", "high")
-    left = S.kept(in_parts.join(mixed, "key"))
-    few = left.where(F.col("size") <= short)
-    other = few.select("key", F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    pairs = few.select("key", F.col("doc_id").alias("a"), "component").join(other, "key").where("a < b AND component <> other").select("a", "b").distinct()
-    many = left.where(F.col("size") > short)
-    if many.isEmpty():
-        return pairs
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    cells = many.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", "doc_id", "component", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
-    cells = cells.join(reps.select("doc_id", "keys"), "doc_id").withColumn("cell", F.xxhash64("key", "i", "j"))
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "key", "i", "j")
+    in_parts = in_parts.join(reps.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+    mixed = in_parts.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / weight)).cast("int")
+    left = S.kept(in_parts.join(mixed.select("key", blocks.alias("blocks")), "key"))
+    if left.isEmpty():
+        return None
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cells = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "component")
+    stays = lists.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) AS INT))")).alias("stays"))
+    looked = cells.join(reps.select("doc_id", "minima").join(stays, "doc_id"), "doc_id")
+    near = S.kept(_by_cell(looked.select(*_CELL, "minima", "stays"), _candidates, ", ".join(f"{c} bigint" for c in _CELL)))
+    sets = S.kept(_sets(docs, S.kept(near.select("doc_id").distinct()), k, id_col, text_col))
+    return _by_cell(near.join(sets, "doc_id").select(*_CELL, "hashes"), lambda rows: _links(rows, percent), "a bigint, b bigint").distinct()
+
+
+_CELL = ["key", "i", "j", "own", "doc_id", "component"]
+
+
+def _by_cell(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``work`` on the rows of each cell, one cell held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             tags = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
             cuts = np.flatnonzero((tags[1:] != tags[:-1]).any(1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(tags)], strict=True):
                 tag = tuple(tags[lo])
                 if held and tag != last:
-                    yield from _cell(held)
+                    yield work(pa.Table.from_batches(held))
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = tag
         if held:
-            yield from _cell(held)
+            yield work(pa.Table.from_batches(held))
+
+    rows = rows.withColumn("cell", F.xxhash64("key", "i", "j"))
+    return rows.repartition("cell").sortWithinPartitions("cell", "key", "i", "j").drop("cell").mapInArrow(run, schema)
 
-    return pairs.unionByName(cells.select("key", "i", "j", "own", "doc_id", "component", "keys").mapInArrow(run, "a bigint, b bigint").distinct()).distinct()
 
+def _candidates(rows: pa.Table) -> pa.RecordBatch:
+    """The rows of a cell whose text has a candidate of another component across the cell's blocks.
 
-def _cell(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates between two blocks of a list, or within one."""
-    rows = pa.Table.from_batches(held).combine_chunks()
+    A pair is looked at only in the list of the first coordinate that both keep and agree on.
+    """
+    here, i, j = rows["key"][0].as_py() >> 32, rows["i"][0].as_py(), rows["j"][0].as_py()
+    own, part = rows["own"].to_numpy(), rows["component"].to_numpy()
+    minima = rows["minima"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    stays = (rows["stays"].to_numpy()[:, None] >> np.arange(COORDINATES)) & 1 == 1
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    theirs, their_stays, their_part = minima[right], stays[right], part[right]
+    chosen = np.zeros(len(own), bool)
+    for x in left:
+        y = np.flatnonzero(their_part != part[x])
+        same = theirs[y] == minima[x]
+        enough = same.sum(1) >= AGREE
+        y, same = y[enough], same[enough]
+        y = right[y[(same & their_stays[y] & stays[x]).argmax(1) == here]]
+        chosen[y] = True
+        chosen[x] |= len(y) > 0
+    at = np.flatnonzero(chosen)
+    return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[at].astype(np.int64)) for c in _CELL], _CELL)
+
+
+def _links(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Links across a cell's blocks that join components, exact on full sets; no link between what is joined already."""
     i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    own, ids, part = (rows[c].to_numpy() for c in ("own", "doc_id", "component"))
-    keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+    own, ids = rows["own"].to_numpy(), rows["doc_id"].to_numpy()
+    part = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(x.as_buffer(), W.U) for x in rows["hashes"]]
+    sizes = np.array([len(x) for x in sets])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    flag = np.zeros(int(terms.max(initial=-1)) + 1, np.int32)
+    starts = edges[:-1]
     a, b = [], []
     for x in left:
-        y = right[(ids[right] > ids[x] if i == j else ids[right] != ids[x]) & (part[right] != part[x])]
-        y = y[(keys[y] == keys[x]).sum(1) >= AGREE]
-        a.append(np.full(len(y), ids[x]))
-        b.append(ids[y])
-    x, y = np.concatenate(a), np.concatenate(b)
-    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", short: int = SHORT, block: int = BLOCK) -> DataFrame:
+        if (part[right] == part[x]).all():
+            continue
+        mine = terms[edges[x] : edges[x + 1]]
+        flag[mine] = 1
+        same = np.add.reduceat(flag[terms], starts)[right]  # no set is empty
+        flag[mine] = 0
+        for y in right[100 * same >= percent * (sizes[x] + sizes[right] - same)]:
+            if part[y] != part[x]:
+                part[part == part[y]] = part[x]
+                a.append(ids[x])
+                b.append(ids[y])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.  ``percent``: least similarity of a link."""
     signed = S.kept(signatures(docs, k, id_col, text_col))
     classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = S.kept(signed.join(classes, ["n", "f1", "f2"], "left"))
-    reps = members.where("doc_id = rep").groupBy("doc_id", "n", "f1", "f2").agg(F.max("keys").alias("keys"))
+    members = S.kept(signed.drop("minima").join(classes, ["n", "f1", "f2"], "left"))
+    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"]).groupBy("doc_id", "n", "f1", "f2").agg(F.max("minima").alias("minima"))
     repeated = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     same = members.join(repeated, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
     reps = S.kept(reps)
     lists = S.kept(_prefixes(reps))
     first = S.kept(_confirm(_stars(lists), reps, docs, k, percent, id_col, text_col).unionByName(same))
     parts = S.kept(components(first))
-    pairs = S.kept(_across(lists, parts, reps, short, block))
-    if not pairs.isEmpty():
-        more = _confirm(pairs, reps, docs, k, percent, id_col, text_col)
+    more = _across(lists, parts, reps, docs, k, percent, id_col, text_col, block, weight)
+    if more is not None:
         parts = S.kept(components(first.unionByName(more)))
     out = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     # a doc_id without a class of its own is its own component

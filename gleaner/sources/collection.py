@@ -43,7 +43,7 @@ class Collection:
         return cls(spark, path)
 
     def _save(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("compression", "lz4raw" if name in ("vocab", "docmap") else "zstd").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", "lz4_raw" if name in ("vocab", "docmap") else "zstd").parquet(f"{self.path}/{name}")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
