@@ -3,8 +3,8 @@
 Base patterns run over the whole text.  Then every layer on the worklist is unwrapped: percent escapes and
 Unicode escapes are replaced throughout the layer, base64 runs are decoded one by one, and decoded bytes that
 begin like gzip, zlib, bzip2, xz or zstd data are decompressed.  Each new layer is scanned with the same
-patterns and goes on the worklist, until nothing new appears.  A layer whose content was seen before in this
-document is not taken up again, so cycles (an archive that holds itself) end.  Every character of a layer
+patterns and goes on the worklist, until nothing new appears.  A layer is not taken up again if its content was
+seen before over the same range of the document, so cycles (an archive that holds itself) end.  Every character of a layer
 carries the range of the original text that it came from; a finding in a layer covers the ranges of its
 characters, the whole run where bytes were decompressed.
 
@@ -76,6 +76,10 @@ class _Layer:
             return a, b
         return int(self.start[a:b].min()), int(self.end[a:b].max())
 
+    def key(self) -> tuple[bytes, tuple[int, int]]:
+        """Content and range; equal for layers that a cycle comes back to."""
+        return hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), self.range(0, len(self.text)) if self.text else (0, 0)
+
     def ranges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the characters a to b - 1, pairwise; what a piece came from is increasing within a layer."""
         if self.start is None or self.end is None:
@@ -229,14 +233,14 @@ def scan_text(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], li
     """Base spans, all spans, layers decoded and layers left because of ``max_decoded``; spans by start, then kind."""
     order = lambda spans: sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     base = base_spans(text)
-    spans, seen, room, left = set(base), {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}, max_decoded, 0
-    todo = deque([_Layer(text)])
+    first = _Layer(text)
+    spans, seen, room, left = set(base), {first.key()}, max_decoded, 0
+    todo = deque([first])
     while todo:
         layer = todo.popleft()
         for decoder in DECODERS:
             for new in decoder(layer, max(room, 0)):
-                key = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if not new.text or key in seen:
+                if not new.text or (key := new.key()) in seen:
                     continue
                 seen.add(key)
                 if len(new.text) > room:
