@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, lm, neardup, packing, quality, rules, secrets, urls
+from . import decontaminate, language, licenses, lm, neardup, oracles, packing, quality, rules, secrets, urls
 from ._spark import table
 
 
@@ -34,22 +34,6 @@ def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")))
 
 
-OP4_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-tok AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_prepend(NULL, w[:len(w) - 1])) AS before FROM words WHERE len(w) > 0),
-one AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
-two AS (SELECT before, word, count(*) AS n FROM tok WHERE before IS NOT NULL GROUP BY before, word),
-scored AS (
-  SELECT tok.doc_id, CASE WHEN tok.before IS NULL THEN ln(b.n / t.n) WHEN two.n >= 2 THEN ln(two.n / a.n) ELSE ln(0.4) + ln(b.n / t.n) END AS s
-  FROM tok JOIN one b ON b.word = tok.word LEFT JOIN one a ON a.word = tok.before
-  LEFT JOIN two ON two.before = tok.before AND two.word = tok.word, (SELECT count(*) AS n FROM tok) t),
-sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log_score
-FROM documents d LEFT JOIN sums USING (doc_id)
-"""
-
-
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
 
@@ -83,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_stupid_backoff": OP4_SQL}
+    return {"op4_stupid_backoff": oracles.stupid_backoff(), "op6_license_scan": oracles.license_scan(), "op7_url_trust": oracles.url_trust(URL_RULES), "op10_near_duplicates": oracles.near_duplicates(4, 80)}

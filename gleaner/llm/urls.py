@@ -43,7 +43,7 @@ class Rule:
     def of(cls, text: str) -> Rule:
         """From "allow example.com/en/7" or "block com/en/"."""
         verdict, _, where = text.partition(" ")
-        m = re.fullmatch(r"([^/]*)(/.*)?", where)
+        m = re.fullmatch(r"([^/]+)(/.*)?", where)
         if verdict not in ("allow", "block") or not m:
             raise ValueError(f"not a rule: {text!r}")
         return cls(m[1], m[2] or "", verdict == "allow")
