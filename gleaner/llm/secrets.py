@@ -68,8 +68,8 @@ def base_spans(text: str) -> list[Span]:
 class _Layer:
     """A text with the range of the original behind each character; for the original itself, no arrays."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, cut: bool = False):
+        self.text, self.start, self.end, self.cut = text, start, end, cut
 
     def range(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None or self.end is None:
@@ -107,20 +107,20 @@ def _inflate(data: bytes, room: int) -> bytes | None:
     return None
 
 
-def _text_of(data: bytes, room: int) -> tuple[str, bool] | None:
-    """The text of decoded bytes, and whether they were compressed."""
+def _text_of(data: bytes, room: int) -> tuple[str, bool, bool] | None:
+    """The text of decoded bytes, whether they were compressed, and whether it was cut for want of room."""
     packed = False
     while (more := _inflate(data, room)) is not None:
         if more == data:
             break
         data, packed = more, True
         if len(data) > room:
-            return data[:room].decode("utf-8", "ignore"), True
+            return data[:room].decode("utf-8", "ignore"), True, True
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
         return None
-    return None if _CONTROL.search(text) else (text, packed)
+    return None if _CONTROL.search(text) else (text, packed, False)
 
 
 def _replaced(layer: _Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> _Layer:
@@ -153,7 +153,7 @@ def _percent(layer: _Layer, room: int) -> Iterator[_Layer]:
             text = data.decode("utf-8")
         except UnicodeDecodeError:
             if got := _text_of(data, room):
-                yield _whole(layer, m.start(), m.end(), got[0])
+                yield _whole(layer, m.start(), m.end(), got[0], got[2])
             continue
         to = np.cumsum(_utf8_sizes(text)) * 3 + m.start()
         runs.append((m.start(), m.end(), text, np.concatenate([[m.start()], to[:-1]]), to))
@@ -170,7 +170,7 @@ def _unicode(layer: _Layer, room: int) -> Iterator[_Layer]:
         if any(v > 0x10FFFF for _, _, v in units):
             continue
         if max(v for _, _, v in units) <= 0xFF and (got := _text_of(bytes(v for _, _, v in units), room)) and got[1]:
-            yield _whole(layer, m.start(), m.end(), got[0])
+            yield _whole(layer, m.start(), m.end(), got[0], got[2])
             continue
         chars, sa, sb = [], [], []
         for a, b, v in units:
@@ -187,9 +187,9 @@ def _unicode(layer: _Layer, room: int) -> Iterator[_Layer]:
         yield _replaced(layer, runs)
 
 
-def _whole(layer: _Layer, a: int, b: int, text: str) -> _Layer:
+def _whole(layer: _Layer, a: int, b: int, text: str, cut: bool) -> _Layer:
     s, e = layer.range(a, b)
-    return _Layer(text, np.full(len(text), s), np.full(len(text), e))
+    return _Layer(text, np.full(len(text), s), np.full(len(text), e), cut)
 
 
 def _base64(layer: _Layer, room: int) -> Iterator[_Layer]:
@@ -215,9 +215,9 @@ def _base64(layer: _Layer, room: int) -> Iterator[_Layer]:
                 continue
             if (got := _text_of(data, room)) is None:
                 continue
-            text, packed = got
+            text, packed, cut = got
             if packed:
-                yield _whole(layer, m.start(), m.end(), text)
+                yield _whole(layer, m.start(), m.end(), text, cut)
             elif text:
                 to = np.cumsum(_utf8_sizes(text))
                 first = (np.concatenate([[0], to[:-1]]) * 8 // 6) + skip
@@ -240,6 +240,7 @@ def scan_text(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], li
         layer = todo.popleft()
         for decoder in DECODERS:
             for new in decoder(layer, max(room, 0)):
+                left += new.cut
                 if not new.text or (key := new.key()) in seen:
                     continue
                 seen.add(key)

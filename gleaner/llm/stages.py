@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = S.kept(neardup.near_duplicates(docs))
     drop = S.kept(found.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct())
     drop_side = F.broadcast(drop) if drop.count() <= MOST_BROADCAST else drop
-    out = docs.join(drop_side, F.col("doc_id").cast("bigint") == F.col("dropped"), "left_anti")
+    out = docs.join(drop_side, docs["doc_id"].cast("bigint") == drop_side["dropped"], "left_anti")
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
     return out if repeated.isEmpty() else out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
 

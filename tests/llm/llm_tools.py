@@ -27,7 +27,7 @@ ROWS = [
 
 def documents(spark: SparkSession, rows=None) -> DataFrame:
     rows = ROWS if rows is None else rows
-    return spark.createDataFrame([(d, t, lang, source, t and len(t), *_REST) for d, t, lang, source in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, lang, source, None if t is None else len(t), *_REST) for d, t, lang, source in rows], SCHEMA)
 
 
 def plain(spark: SparkSession, texts: dict) -> DataFrame:
