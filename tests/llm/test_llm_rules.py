@@ -84,7 +84,7 @@ def test_distances(spark):
 def test_outliers_are_found_and_clean_texts_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
     shout = docs.where("doc_id % 20 = 0 AND length(text) > 300")
-    junk = shout.select((F.col("doc_id") + 10**6).alias("doc_id"), F.regexp_replace(F.upper("text"), " ", " ### &&& ").alias("text"), "lang", "source")
+    junk = shout.select((F.col("doc_id") + 10**6).alias("doc_id"), F.regexp_replace(F.upper("text"), " ", "##&& ").alias("text"), "lang", "source")
     got = {r.doc_id: r for r in rules.judge(docs.unionByName(junk)).collect()}
     planted = [r for d, r in got.items() if d >= 10**6 and not r.base_failed]
     assert len(planted) > 20 and not any(r.kept for r in planted)
