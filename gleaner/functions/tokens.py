@@ -108,11 +108,30 @@ def hashed(grams: Column, modulus: int) -> Column:
     return F.transform(grams, lambda g: djb(g, prime).cast("string"))
 
 
+_MODELS: dict = {}
+
+
+def pieces(text: Column, path: str) -> Column:
+    """SentencePiece pieces of the text by the model file at ``path``, which every worker reads once."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        import sentencepiece
+
+        if path not in _MODELS:
+            _MODELS[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+        return texts.map(lambda t: _MODELS[path].encode(t, out_type=str, num_threads=1), na_action="ignore")
+
+    return run(text)
+
+
 def tokenizer(name: str, strict: bool = True) -> Callable[[Column], Column]:
-    """By name: englishstemlower, words, legacy, ngram.N, nghash.N.H.
+    """By name: englishstemlower, words, legacy, ngram.N, nghash.N.H, pieces:FILE.
 
     An unknown name raises; with ``strict`` false it falls back to englishstemlower.
     """
+    if name.startswith("pieces:"):
+        return lambda text: pieces(text, name.removeprefix("pieces:"))
     head, *args = name.split(".")
     try:
         if head == "ngram":

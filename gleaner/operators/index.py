@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import codecs, tokens
 from ..session import kept
 
+#: Consecutive documents whose postings of one token make a row.
+SEGMENT = 1 << 16
+
 
 def term_frequencies(docs: DataFrame, tokenize: Callable[[Column], Column] = tokens.words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, token, tf)."""
@@ -82,15 +85,28 @@ def sorted_tuples(encoded_tf: DataFrame) -> DataFrame:
     return encoded_tf.orderBy("tok_id", "doc_int", "tf")
 
 
+def segment_of(doc_int: Column) -> Column:
+    """The segment of a list that a document belongs to; none holds more than ``SEGMENT`` documents."""
+    return F.floor((doc_int - 1) / SEGMENT).cast("bigint")
+
+
 def posting_lists(encoded_tf: DataFrame) -> DataFrame:
-    """(tok_id, df, postings): an array per token, for tokens whose list fits a row; ``gaps`` serves any length."""
-    return encoded_tf.groupBy("tok_id").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("doc_int", "tf"))).alias("postings"))
+    """(tok_id, segment, df, postings): an array per token and segment, so the list of a token that is everywhere is many rows."""
+    return encoded_tf.groupBy("tok_id", segment_of(F.col("doc_int")).alias("segment")).agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("doc_int", "tf"))).alias("postings"))
 
 
 def gaps(encoded_tf: DataFrame) -> DataFrame:
-    """(tok_id, doc_int, gap, tf): the distance to the document before it in the token's list, the first from 0."""
-    w = Window.partitionBy("tok_id").orderBy("doc_int")
-    return encoded_tf.withColumn("gap", F.col("doc_int") - F.lag("doc_int", 1, 0).over(w)).select("tok_id", "doc_int", "gap", "tf")
+    """(tok_id, doc_int, gap, tf): the distance to the document before it in the token's list, the first from 0.
+
+    Within a segment by a window; a segment's first document follows the last one of the segments before it, of
+    which there is a row each.
+    """
+    rows = encoded_tf.withColumn("segment", segment_of(F.col("doc_int")))
+    inside = F.lag("doc_int").over(Window.partitionBy("tok_id", "segment").orderBy("doc_int"))
+    ends = rows.groupBy("tok_id", "segment").agg(F.max("doc_int").alias("last"))
+    starts = ends.select("tok_id", "segment", F.lag("last", 1, 0).over(Window.partitionBy("tok_id").orderBy("segment")).alias("start"))
+    found = rows.withColumn("before", inside).join(starts, ["tok_id", "segment"])
+    return found.select("tok_id", "doc_int", (F.col("doc_int") - F.coalesce("before", "start")).alias("gap"), "tf")
 
 
 def posting_bytes(encoded_tf: DataFrame) -> DataFrame:
@@ -99,9 +115,9 @@ def posting_bytes(encoded_tf: DataFrame) -> DataFrame:
 
 
 def serialised(encoded_tf: DataFrame) -> DataFrame:
-    """(tok_id, data): the byte form of each list."""
+    """(tok_id, segment, data): the byte form of each list, segment by segment, each from document 0."""
     p = posting_lists(encoded_tf)
-    return p.select("tok_id", codecs.encoded_list(F.col("postings.doc_int"), F.col("postings.tf")).alias("data"))
+    return p.select("tok_id", "segment", codecs.encoded_list(F.col("postings.doc_int"), F.col("postings.tf")).alias("data"))
 
 
 def feature_vectors(encoded_tf: DataFrame, docs: DataFrame) -> DataFrame:

@@ -63,10 +63,11 @@ def sgd_trainer(**options) -> Callable[[DataFrame, DataFrame], DataFrame]:
     return fit
 
 
-def run(tf: DataFrame, pool: DataFrame, qrels: DataFrame, depth: int = 10, per_step: int = 1, stop: Stop | None = None, trainer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Review:
+def run(tf: DataFrame, pool: DataFrame, qrels: DataFrame, depth: int = 10, per_step: int = 1, stop: Stop | None = None, trainer: Callable[[DataFrame, DataFrame], DataFrame] | None = None, scan: DataFrame | None = None) -> Review:
     """Reviews one topic.  Each step is one job over ``tf``; judgments are checkpointed, so lineage stays short.
 
     ``trainer``: (tf, judged) to (token, w); the default is pairwise descent on all judgments so far.
+    ``scan``: all documents (doc_id), if those without a weighted token are to be scored as well.
     """
     stop, trainer = stop or Stop(), trainer or sgd_trainer()
     relevant, most = qrels.agg(F.count_if(F.expr("rel > 0")), F.count("*")).first()
@@ -76,7 +77,8 @@ def run(tf: DataFrame, pool: DataFrame, qrels: DataFrame, depth: int = 10, per_s
     model, step, zeros = kept(trainer(tf, judgments)), 0, 0
     while True:
         step += 1
-        found = scoring.by_index(tf, model, judgments).orderBy(F.col("score").desc(), "doc_id").limit(per_step)
+        scores = scoring.by_index(tf, model, judgments) if scan is None else scoring.by_scan(scan, tf, model, judgments)
+        found = scores.orderBy(F.col("score").desc(), "doc_id").limit(per_step)
         new = kept(labelled(found.select("doc_id"), qrels).select(F.lit(step).alias("step"), "doc_id", "rel"))
         judgments = kept(judgments.unionByName(new))
         total = judgments.agg(F.count("*").alias("n"), F.count_if(F.expr("rel > 0")).alias("rel"), F.count_if((F.col("step") == step) & (F.col("rel") > 0)).alias("new"), F.count_if(F.col("step") == step).alias("got")).first()

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, tokens
+from ..functions import codecs, tokens, vectors
 from ..operators import index, review, scoring, training
 from ..session import kept
 
@@ -131,10 +131,10 @@ def offset_slots(spark, sf_dir):
 # --- index ---
 
 
-@query(f"WITH {IDS} SELECT tok_id, count(*) AS df, string_agg(doc_int || ':' || tf, ' ' ORDER BY doc_int) AS postings FROM enc GROUP BY tok_id")
+@query(f"WITH {IDS} SELECT tok_id, (doc_int - 1) // 65536 AS segment, count(*) AS df, string_agg(doc_int || ':' || tf, ' ' ORDER BY doc_int) AS postings FROM enc GROUP BY ALL")
 def posting_lists(spark, sf_dir):
     p = index.posting_lists(_encoded(spark, sf_dir))
-    return p.select("tok_id", "df", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x.doc_int, x.tf)), " ").alias("postings"))
+    return p.select("tok_id", "segment", "df", F.array_join(F.transform("postings", lambda x: F.concat_ws(":", x.doc_int, x.tf)), " ").alias("postings"))
 
 
 @query(f"WITH {IDS} SELECT tok_id, doc_int, doc_int - lag(doc_int, 1, 0) OVER (PARTITION BY tok_id ORDER BY doc_int) AS gap, tf FROM enc")
@@ -243,6 +243,15 @@ def score_json(spark, sf_dir):
     return scoring.by_index(tf, model).select("doc_id", "score", F.to_json(F.struct(F.col("doc_id").alias("docid"), "score")).alias("json"))
 
 
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda v: v <> 0)) AS BIGINT) AS stored, len(embedding) AS length, CAST(len(list_filter(embedding, lambda v: v <> 0)) AS BIGINT) AS same FROM (SELECT vec_id, list_transform(embedding, lambda v: CASE WHEN abs(v) < 0.05 THEN 0::FLOAT ELSE v END) AS embedding FROM embeddings)")
+def sparse_vectors(spark, sf_dir):
+    """Dense to sparse and back; small values are taken for zeros."""
+    near_zero = F.transform("embedding", lambda v: F.when(F.abs(v) < F.lit(0.05).cast("float"), F.lit(0.0).cast("float")).otherwise(v))
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", near_zero.alias("dense")).withColumn("sparse", vectors.sparse(F.col("dense")))
+    same = F.size(F.filter(F.zip_with("dense", vectors.dense(F.col("sparse")), lambda a, b: (a == b) & (a != 0)), lambda x: x))
+    return e.select("vec_id", F.size("sparse.idx").cast("bigint").alias("stored"), F.col("sparse.length").cast("bigint").alias("length"), same.cast("bigint").alias("same"))
+
+
 # --- judgments ---
 
 

@@ -116,6 +116,17 @@ def test_loop(docs, tf, judged):
     assert again.isEmpty()
 
 
+def test_loop_by_scan(spark):
+    """Scan scoring also offers documents without any weighted token."""
+    tf = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, "a", 2)], "doc_id bigint, token string, tf bigint")
+    docs = spark.range(1, 6).withColumnRenamed("id", "doc_id")
+    qrels = spark.createDataFrame([(1, 1), (3, 1)], "doc_id bigint, rel int")
+    pool = spark.createDataFrame([(1, 1), (2, 2)], "doc_id bigint, rank int")
+    options = {"per_step": 5, "stop": review.Stop(found_all=False, max_steps=1), "trainer": scoring.centroid_model}
+    assert {r.doc_id for r in review.run(tf, pool, qrels, **options).judgments.collect()} == {1, 2, 3}
+    assert {r.doc_id for r in review.run(tf, pool, qrels, scan=docs, **options).judgments.collect()} == {1, 2, 3, 4, 5}
+
+
 @pytest.mark.parametrize(("rule", "state", "reason"), [({}, (1, 10, 5, 5, 1, 0), "all relevant found"), ({"max_steps": 3}, (3, 10, 1, 5, 0, 0), "maximum steps"), ({"fail_out": True}, (1, 301, 200, 500, 5, 0), "many relevant after 300 documents"), ({"fail_out": True}, (1, 151, 20, 500, 2, 0), "few relevant after 150 documents"), ({"zero_steps": 2}, (9, 10, 1, 5, 0, 3), "no relevant in recent steps"), ({}, (1, 10, 1, 5, 0, 9), None)])
 def test_stop_rules(rule, state, reason):
     assert review.Stop(**rule).reason(*state) == reason
@@ -144,3 +155,32 @@ def test_plans(spark, docs, tf, judged):
     model = scoring.centroid_model(tf, judged)
     plan = scoring.by_index(tf, model, judged).orderBy(F.desc("score")).limit(5)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan and "TakeOrderedAndProject" in plan and "Cartesian" not in plan
+
+
+def test_lists_in_segments(spark, monkeypatch):
+    """Gaps and sizes don't depend on how a list is cut."""
+    rng = np.random.default_rng(2)
+    lists = {t: sorted(rng.choice(np.arange(1, 200), n, replace=False).tolist()) for t, n in ((1, 150), (2, 1), (3, 20))}
+    rows = [(t, d, int(rng.integers(1, 9))) for t, ds in lists.items() for d in ds]
+    e = spark.createDataFrame(rows, "tok_id bigint, doc_int bigint, tf bigint")
+    want, sizes = sorted(map(tuple, index.gaps(e).collect())), sorted(map(tuple, index.posting_bytes(e).collect()))
+    assert [(t, d, g) for t, d, g, _ in want] == [(t, d, d - b) for t, ds in lists.items() for b, d in zip([0, *ds], ds, strict=False)]
+    monkeypatch.setattr(index, "SEGMENT", 10)
+    assert sorted(map(tuple, index.gaps(e).collect())) == want and sorted(map(tuple, index.posting_bytes(e).collect())) == sizes
+    cut = index.posting_lists(e).collect()
+    assert max(len(r.postings) for r in cut) <= 10 and sum(r.df for r in cut) == len(rows)
+    assert sorted((r.tok_id, p.doc_int, p.tf) for r in cut for p in r.postings) == sorted(rows)
+
+
+def test_bounded_training(spark):
+    judged = spark.createDataFrame([("t", i, "pos" if i % 4 else "neg") for i in range(4000)], "topic string, doc_id bigint, part string")
+    assert training.bounded(judged, 4000).count() == 4000
+    n = {r.part: r["count"] for r in training.bounded(judged, 500).groupBy("part").count().collect()}
+    assert all(400 < x < 600 for x in n.values())
+
+
+def test_start_from_a_model(tf, judged):
+    qrels = judged.select(F.lit("q").alias("topic"), "doc_id", "rel")
+    model = training.train_on(tf, qrels, iterations=300)
+    again = training.train_on(tf, qrels, iterations=300, initial=model)
+    assert again.count() > 100 and again.where("w = 0 OR isnan(w)").isEmpty()

@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.functions import codecs, tokens
+from gleaner.functions import codecs, tokens, vectors
 from gleaner.functions.stem import stem
 
 
@@ -105,3 +105,22 @@ def test_uuids(spark):
     assert got["xyz"] is None and got[None] is None
     codes = list(codecs.UUID_CODES.values())
     assert len(codes) == 17 and not any(a != b and b.startswith(a) for a in codes for b in codes)
+
+
+@pytest.mark.parametrize("values", [[], [0.0], [1.5, 0.0, -2.0, 0.0], [0.0, 0.25], None])
+def test_vectors(spark, values):
+    df = spark.createDataFrame([(values,)], "v array<float>").select(vectors.sparse(F.col("v")).alias("s"))
+    r = df.select("s", vectors.dense(F.col("s")).alias("d")).first()
+    if values is None:
+        assert r.s is None and r.d is None
+    else:
+        assert r.s.idx == [i for i, v in enumerate(values) if v] and r.s.val == [v for v in values if v]
+        assert r.s.length == len(values) and r.d == values
+
+
+def test_pieces(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = str(public.path("piece_bpe_32k.model"))
+    got = one(spark, "Hello world", tokens.tokenizer(f"pieces:{path}"))
+    assert "".join(got).replace("\u2581", " ").strip() == "Hello world" and len(got) > 1
+    assert one(spark, None, tokens.tokenizer(f"pieces:{path}")) is None
