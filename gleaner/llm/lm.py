@@ -35,8 +35,8 @@ from . import _spark as S
 from . import _words as W
 
 BLOCK_WORDS = 1_500_000
-#: Estimated bytes of input for each part of the count table.
-PART_BYTES = 1 << 25
+#: Estimated bytes of input for each part of the count table, one of which a task holds at a time.
+PART_BYTES = 1 << 23
 ORDER, BACKOFF, LEAST = 2, 0.4, 2
 
 _ROWS = "part int, block bigint, kind int, payload binary, counts binary"
@@ -114,12 +114,12 @@ def _batches(rows: Iterator[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)], _NAMES)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of sorted batches by the value of ``key``; one group is held at a time."""
-    last, held = None, []
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by the values of ``keys``; one group is held at a time."""
+    last, held, where = None, [], [_NAMES.index(k) for k in keys]
     for batch in batches:
         for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            k = r[_NAMES.index(key)]
+            k = tuple(r[i] for i in where)
             if held and k != last:
                 yield last, held
                 held = []
@@ -154,21 +154,30 @@ def _ask(parts: int, order: int, block_words: int):
     return run
 
 
+def _totals(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """For each hash, the sum of the times of all that equal it."""
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.append(first, len(order))))
+    return out
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> Iterator[tuple]:
-        for part, group in _groups(batches, "part"):
-            for kind in sorted({r[2] for r in group}):
-                own = [r for r in group if r[2] == kind]
-                if not kind:
-                    yield from own
-                    continue
-                hashes = [np.cumsum(W.unvarint(r[3]), dtype=W.U) for r in own]
-                times = np.concatenate([W.unvarint(_unpress(r[4])) for r in own]).astype(np.int64)
-                distinct, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-                total = np.bincount(inverse, times, len(distinct)).astype(np.int64)[inverse]
-                cut = np.cumsum([0, *map(len, hashes)])
-                for r, a, b in zip(own, cut[:-1], cut[1:], strict=True):
-                    yield (part, r[1], kind, _press(W.varint(total[a:b])), None)
+        for (part, kind), own in _groups(batches, "part", "kind"):
+            if not kind:
+                yield from own
+                continue
+            hashes = [np.cumsum(W.unvarint(r[3]), dtype=W.U) for r in own]
+            times = np.concatenate([W.unvarint(_unpress(r[4])) for r in own]).astype(np.int64)
+            blocks = [r[1] for r in own]
+            own.clear()
+            cut = np.cumsum([0, *map(len, hashes)])
+            total = _totals(np.concatenate(hashes), times)
+            for block, a, b in zip(blocks, cut[:-1], cut[1:], strict=True):
+                yield (part, block, kind, _press(W.varint(total[a:b])), None)
 
     yield from _batches(rows())
 
