@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, tokens, vectors
 from ..operators import index, review, scoring, training
-from ..session import kept
+from ..session import kept, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -46,7 +46,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.term_frequencies(_docs(spark, sf_dir))
+    return index.term_frequencies(spread(_docs(spark, sf_dir)))
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,13 +314,13 @@ def train_sgd_scores(spark, sf_dir):
 
 @query("SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS gram FROM (SELECT lower(text) AS t FROM documents)) GROUP BY gram")
 def ngram_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).select(F.explode(tokens.plain_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return spread(_docs(spark, sf_dir)).select(F.explode(tokens.plain_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 @query()
 def grapheme_ngram_counts(spark, sf_dir):
     """Of arbitrary text: NFKC and grapheme clusters."""
-    return _docs(spark, sf_dir).select(F.explode(tokens.ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return spread(_docs(spark, sf_dir)).select(F.explode(tokens.ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def _xor(a: str, b: str) -> str:
@@ -345,7 +345,7 @@ def prime_next(spark, sf_dir):
 
 @query()
 def stem_tf(spark, sf_dir):
-    return index.term_frequencies(_docs(spark, sf_dir), tokens.stemmed_words)
+    return index.term_frequencies(spread(_docs(spark, sf_dir)), tokens.stemmed_words)
 
 
 # --- codecs ---

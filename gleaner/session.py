@@ -25,3 +25,9 @@ def kept(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it would be read by fewer tasks, as a file of one row group is; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
