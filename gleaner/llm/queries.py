@@ -26,7 +26,7 @@ def op2_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole=decontaminate.PERCENT)
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that overlap with a benchmark item."""
-    return decontaminate.clean(docs, S.table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean(docs, S.table(spark, sf_dir, "benchmark"), whole=decontaminate.PERCENT)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

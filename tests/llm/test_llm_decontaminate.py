@@ -1,8 +1,10 @@
 """Overlaps against every offset of every pair, and planted substitutions."""
 
+import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from llm_tools import plain
 
@@ -114,3 +116,22 @@ def test_blocks_of_a_large_benchmark(spark, planted, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 200)
     assert sorted(map(tuple, D.overlaps(own, bench).collect())) == want
     assert sorted(r.doc_id for r in D.clean(own, bench).collect()) == left == sorted(texts.keys() - {r[0] for r in want})
+
+
+def test_every_substitution_in_short_items():
+    """At most a quarter of an item's words substituted, at every combination of places, and one more."""
+    for n in range(5, 17):
+        item = [f"w{i}" for i in range(n)]
+        index = D.Index([1], [" ".join(item)], whole=D.PERCENT)
+        for count in range(n // 4 + 2):
+            places = list(itertools.combinations(range(n), count))
+            texts = [" ".join(["before", *("other" if i in gone else w for i, w in enumerate(item)), "after"]) for gone in places]
+            got = {row: (matched, aligned) for row, _, matched, aligned, _, _ in index.search(pa.array(texts))}
+            assert len(got) == (len(texts) if count <= n // 4 else 0), (n, count)
+
+
+def test_query_finds_short_items_with_substitutions(spark, tmp_path):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    plain(spark, {1: f"x {item.replace('four', 'vier')} y", 2: "one two three"}).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id, r.matched, r.aligned) for r in op3_decontamination(spark, str(tmp_path)).collect()] == [(1, 5, 11, 12)]
