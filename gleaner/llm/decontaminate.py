@@ -1,6 +1,8 @@
 """Benchmark decontamination: spaced-seed hashing with substitution-tolerant verification.
 
-Words are runs of letters and digits, A-Z folded.  Each fixed mask of ``MASKS`` hashes the words at its ones and
+Words are runs of letters and digits, A-Z folded; punctuation, symbols and spaces of all scripts part them, and
+each character of a script written without spaces (``UNSPACED``) is a word, so that for these ``LEAST`` and
+``SHORTEST`` count characters.  Each fixed mask of ``MASKS`` hashes the words at its ones and
 ignores those at its zeros, at every position of every benchmark item and document.  Where a document's hash is
 one of the items', the two are laid over each other at that offset and compared word by word over their whole
 overlap; the segment that scores most (1 a match, -2 a substitution) is an overlap if it has ``LEAST`` matches
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,9 @@ LEAST, SHORTEST = 12, 5
 MISMATCH, PERCENT = 2, 75
 BLOCK_BYTES = 1 << 25
 _BITS = 22
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\x{30FC}\x{FF70}\p{Bopomofo}\p{Yi}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tai_Le}\p{New_Tai_Lue}\p{Tai_Tham}\p{Tai_Viet}\p{Javanese}\p{Balinese}"
+#: Beyond ASCII: punctuation, symbols, spaces, C1 controls, zero-width space and byte order mark, variation selectors.
+_PARTING = r"\p{P}\p{S}\p{Z}\x{80}-\x{9F}\x{200B}\x{FEFF}\x{FE00}-\x{FE0F}"
 #: Words of items laid over documents at once.
 _LAID = 1 << 20
 
@@ -60,8 +66,20 @@ def _seeds(words: W.Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, W.mix(h[at])
 
 
+def _parted(column: pa.Array) -> pa.Array:
+    """The texts with ASCII spaces for what parts words beyond ASCII, and around each character that is a word."""
+    column = column.cast(pa.large_string())
+    beyond = pc.invert(pc.string_is_ascii(column))
+    if not pc.any(beyond).as_py():
+        return column
+    texts = column.filter(beyond)
+    texts = pc.replace_substring_regex(texts, f"[{_PARTING}]", " ")
+    texts = pc.replace_substring_regex(texts, f"([{UNSPACED}])", r" \1 ")
+    return pc.replace_with_mask(column, pc.fill_null(beyond, False), texts)
+
+
 def _words(column: pa.Array) -> Iterator[tuple[int, W.Words]]:
-    for lo, _, data, offsets in W.blocks(column):
+    for lo, _, data, offsets in W.blocks(_parted(column)):
         yield lo, W.split(data, offsets, fold=True, between=W.MARKS)
 
 

@@ -135,3 +135,13 @@ def test_query_finds_short_items_with_substitutions(spark, tmp_path):
     plain(spark, {1: f"x {item.replace('four', 'vier')} y", 2: "one two three"}).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(5, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(r.doc_id, r.item_id, r.matched, r.aligned) for r in op3_decontamination(spark, str(tmp_path)).collect()] == [(1, 5, 11, 12)]
+
+
+def test_scripts_without_spaces_and_marks_beyond_ascii():
+    """A planted sentence of each script, whole and with characters replaced."""
+    items = ["人工知能の研究は二十世紀の半ばに始まり今も続いている", "机器学习是人工智能的一个重要分支它研究如何从数据中学习规律", "ประเทศไทยมีเมืองหลวงชื่อกรุงเทพมหานคร", "the—quick “brown” fox…jumps over«the»lazy　dog¿today"]
+    index = D.Index(list(range(4)), items, whole=D.PERCENT)
+    swapped = items[1][:4] + "乙" + items[1][5:13] + "丙" + items[1][14:]
+    texts = [f"前置き。{items[0]}。そして", f"以前的文字，{swapped}！以后", f"ข้อความ{items[2]}จบ", "so: the quick brown fox jumps over the lazy dog today", "全く別の話をここに書いておく", None, ""]
+    assert {r[:2] for r in index.search(pa.array(texts))} == {(i, i) for i in range(4)}
+    assert [len(x) for x in index.items] == [*map(len, items[:3]), 10]
