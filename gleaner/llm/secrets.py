@@ -1,8 +1,10 @@
 """Secret scans: a worklist of decoded layers, each scanned again and mapped back to the text.
 
 Base patterns run over the whole text.  Then every layer on the worklist is unwrapped: percent escapes and
-Unicode escapes are replaced throughout the layer, base64 runs are decoded one by one, and decoded bytes that
-begin like gzip, zlib, bzip2, xz or zstd data are decompressed.  Each new layer is scanned with the same
+Unicode escapes are replaced throughout the layer, base64 runs are decoded one by one in each of four alignments, and
+gzip, zlib, bzip2, xz or zstd data are decompressed wherever they begin in decoded bytes, one stream after another.
+Percent and byte escapes mixed with bare characters are read as bytes too.  Of bytes that aren't text as a whole, the
+stretches of UTF-8 and of ASCII as UTF-16 that are long enough for a secret become layers.  Each new layer is scanned with the same
 patterns and goes on the worklist, until nothing new appears.  A layer is not taken up again if its content was
 seen before over the same range of the document, so cycles (an archive that holds itself) end.  Every character of a layer
 carries the range of the original text that it came from; a finding in a layer covers the ranges of its
@@ -20,6 +22,7 @@ import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -50,6 +53,19 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?:[A-Za-z0-9+/_-]{56,128}\r?\n)+[A-Za-z0-9+/_-]+={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
 
+#: No secret is shorter: "token=" and six characters.
+SHORTEST = 12
+_CHUNK = 1 << 16
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7e]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
+_UTF16 = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}+|(?:\x00[\t\n\r\x20-\x7e]){12,}+")
+#: Bytes as escapes and bare characters, as encoders of URLs and of string literals write them.
+_QUOTED = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+!*'(),;:@&=$-])++")
+_LITERAL = re.compile(r"[\x20-\x7e]+")
+_QUOTED_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|(.)")
+_LITERAL_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|(\\[tnrabfv0\\'\"]|.)")
+_SHORT = {"\\t": 9, "\\n": 10, "\\r": 13, "\\a": 7, "\\b": 8, "\\f": 12, "\\v": 11, "\\0": 0}
+
 Span = tuple[str, int, int]
 
 
@@ -87,40 +103,89 @@ class _Layer:
         return self.start[a], self.end[b - 1]
 
 
-def _inflate(data: bytes, room: int) -> bytes | None:
-    """Decompressed bytes, None if ``data`` isn't compressed; at most ``room`` + 1 bytes."""
+def _stream(decoder, data: memoryview, room: int) -> tuple[bytes, int]:
+    """Decompressed bytes, at most ``room`` + 1, and how many bytes of ``data`` they took; fed in chunks, so that many short streams in a row stay cheap."""
+    out, n, at = [], 0, 0
+    while at < len(data) and n <= room and not decoder.eof:
+        chunk = data[at : at + _CHUNK]
+        try:
+            out.append(decoder.decompress(chunk, room + 1 - n))
+        except Exception:
+            if not n:
+                raise
+            return b"".join(out), at
+        at += len(chunk)
+        n += len(out[-1])
+    return b"".join(out), at - len(decoder.unused_data)
+
+
+def _inflate(data: memoryview, room: int) -> tuple[bytes, int] | None:
+    """Decompressed bytes and how many bytes they took, None if ``data`` isn't compressed."""
+    head = bytes(data[:6])
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, room + 1)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, room + 1)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, room + 1)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, room + 1)
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        if head[:2] == b"\x1f\x8b":
+            return _stream(zlib.decompressobj(31), data, room)
+        if head[:1] == b"\x78":
+            return _stream(zlib.decompressobj(), data, room)
+        if head[:3] == b"BZh":
+            return _stream(bz2.BZ2Decompressor(), data, room)
+        if head == b"\xfd7zXZ\x00":
+            return _stream(lzma.LZMADecompressor(), data, room)
+        if head[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            return zstandard.ZstdDecompressor().stream_reader(data).read(room + 1)
+            return zstandard.ZstdDecompressor().stream_reader(data).read(room + 1), 4  # where a frame ends isn't told
     except Exception:  # any decoder's own error: then it wasn't such data
         return None
     return None
 
 
-def _text_of(data: bytes, room: int) -> tuple[str, bool, bool] | None:
-    """The text of decoded bytes, whether they were compressed, and whether it was cut for want of room."""
-    packed = False
-    while (more := _inflate(data, room)) is not None:
-        if more == data:
-            break
-        data, packed = more, True
-        if len(data) > room:
-            return data[:room].decode("utf-8", "ignore"), True, True
+def _unpacked(data: bytes, room: int) -> Iterator[tuple[int, int, str, bool]]:
+    """Texts in the streams that begin anywhere in ``data``, and in streams within these: first byte, byte after the last, text, whether cut for want of room."""
+    todo, seen = deque([(data, None)]), {data}
+    while todo:
+        data, range_ = todo.popleft()
+        at, view = 0, memoryview(data)
+        while m := _MAGIC.search(data, at):
+            at = m.start() + 1
+            if not (got := _inflate(view[m.start() :], room)) or not got[0]:
+                continue
+            out, used = got
+            a, b = range_ or (m.start(), len(data) if used == 4 else m.start() + used)
+            at = max(at, m.start() + used)
+            cut = len(out) > room
+            out = out[:room]
+            if out in seen and not cut:
+                continue
+            seen.add(out)
+            room -= len(out)
+            texts = [t for _, _, t in _stretches(out)] + [t for _, _, t in _wide(out)]
+            for text in texts:
+                yield a, b, text, False
+            if cut:
+                yield a, b, "", True
+            todo.append((out, (a, b)))
+
+
+def _stretches(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """First byte, byte after the last and text of the whole, if it is text, else of its stretches of text."""
     try:
         text = data.decode("utf-8")
+        if not _CONTROL.search(text):
+            yield 0, len(data), text
+            return
     except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else (text, packed, False)
+        pass
+    for m in _TEXT.finditer(data):
+        if m.end() - m.start() >= SHORTEST:
+            yield m.start(), m.end(), m[0].decode("utf-8")
+
+
+def _wide(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """Stretches of ASCII written as UTF-16."""
+    if b"\0" in data:
+        for m in _UTF16.finditer(data):
+            yield m.start(), m.end(), m[0].replace(b"\0", b"").decode("ascii")
 
 
 def _replaced(layer: _Layer, runs: list[tuple[int, int, str, np.ndarray, np.ndarray]]) -> _Layer:
@@ -152,9 +217,7 @@ def _percent(layer: _Layer, room: int) -> Iterator[_Layer]:
         try:
             text = data.decode("utf-8")
         except UnicodeDecodeError:
-            if got := _text_of(data, room):
-                yield _whole(layer, m.start(), m.end(), got[0], got[2])
-            continue
+            continue  # _escaped reads it as bytes
         to = np.cumsum(_utf8_sizes(text)) * 3 + m.start()
         runs.append((m.start(), m.end(), text, np.concatenate([[m.start()], to[:-1]]), to))
     if runs:
@@ -169,8 +232,9 @@ def _unicode(layer: _Layer, room: int) -> Iterator[_Layer]:
         units = [(x.start() + m.start(), x.end() + m.start(), int(x[4]) if x[4] else int(x[1] or x[2] or x[3], 16)) for x in _ONE_ESCAPE.finditer(m[0])]
         if any(v > 0x10FFFF for _, _, v in units):
             continue
-        if max(v for _, _, v in units) <= 0xFF and (got := _text_of(bytes(v for _, _, v in units), room)) and got[1]:
-            yield _whole(layer, m.start(), m.end(), got[0], got[2])
+        if max(v for _, _, v in units) <= 0xFF and (got := list(_unpacked(bytes(v for _, _, v in units), room))):
+            for a, b, text, cut in got:
+                yield _whole(layer, units[a][0], units[b - 1][1], text, cut)
             continue
         chars, sa, sb = [], [], []
         for a, b, v in units:
@@ -187,6 +251,22 @@ def _unicode(layer: _Layer, room: int) -> Iterator[_Layer]:
         yield _replaced(layer, runs)
 
 
+def _escaped(layer: _Layer, room: int) -> Iterator[_Layer]:
+    """Compressed data and UTF-16 in runs of escapes and bare characters; text in them is ``_percent``'s and ``_unicode``'s."""
+    for mark, run, one in (("%", _QUOTED, _QUOTED_BYTE), ("\\", _LITERAL, _LITERAL_BYTE)):
+        if mark not in layer.text:
+            continue
+        for m in run.finditer(layer.text):
+            if mark == "\\" and "\\x" not in m[0] and "\\u00" not in m[0] or mark not in m[0]:
+                continue
+            units = list(one.finditer(m[0]))
+            data = bytes(int(u[1], 16) if u[1] else _SHORT.get(u[2], ord(u[2][-1])) for u in units)
+            tries = [data, bytes(0x20 if u[2] == "+" else c for u, c in zip(units, data, strict=True))] if mark == "%" and "+" in m[0] else [data]
+            for data in tries:
+                for a, b, text, cut in itertools.chain(_unpacked(data, room), ((*w, False) for w in _wide(data))):
+                    yield _whole(layer, m.start() + units[a].start(), m.start() + units[b - 1].end(), text, cut)
+
+
 def _whole(layer: _Layer, a: int, b: int, text: str, cut: bool) -> _Layer:
     s, e = layer.range(a, b)
     return _Layer(text, np.full(len(text), s), np.full(len(text), e), cut)
@@ -213,20 +293,25 @@ def _base64(layer: _Layer, room: int) -> Iterator[_Layer]:
                 data = base64.b64decode(rest + "=" * (-len(rest) % 4))
             except (binascii.Error, ValueError):
                 continue
-            if (got := _text_of(data, room)) is None:
-                continue
-            text, packed, cut = got
-            if packed:
-                yield _whole(layer, m.start(), m.end(), text, cut)
-            elif text:
-                to = np.cumsum(_utf8_sizes(text))
-                first = (np.concatenate([[0], to[:-1]]) * 8 // 6) + skip
-                last = ((to * 8 - 1) // 6) + skip
-                yield _Layer(text, *layer.ranges(where[first], where[np.minimum(last, len(where) - 1)] + 1))
-            break
-
-
-DECODERS = (_percent, _unicode, _base64)
+            char = lambda byte, skip=skip: min(byte * 8 // 6 + skip, len(where) - 1)
+            packed = list(_unpacked(data, room))
+            for a, b, text, cut in itertools.chain(packed, ((*w, False) for w in _wide(data))):
+                if a == skip == 0:
+                    yield _whole(layer, m.start(), m.end(), text, cut)
+                else:
+                    yield _whole(layer, int(where[char(a)]), int(where[min((b * 8 - 1) // 6 + skip, len(where) - 1)]) + 1, text, cut)
+            for a, b, text in _stretches(data):
+                inside = [text[x:y] for _, x, y in base_spans(text)] if packed else []
+                if inside and any(lo <= a and b <= hi and all(x in t for x in inside) for lo, hi, t, _ in packed):
+                    continue  # stored bytes of a stream that was unpacked
+                if text:
+                    to = np.cumsum(_utf8_sizes(text)) + a
+                    first = (np.concatenate([[a], to[:-1]]) * 8 // 6) + skip
+                    last = ((to * 8 - 1) // 6) + skip
+                    yield _Layer(text, *layer.ranges(where[first], where[np.minimum(last, len(where) - 1)] + 1))
+
+
+DECODERS = (_percent, _unicode, _escaped, _base64)
 
 
 def scan_text(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Span], int, int]:

@@ -136,3 +136,33 @@ def test_redaction():
     assert "hunter2" not in out and out.startswith("one [assign] two ") and out.endswith(" three [access].")
     assert not spans_of(out)[1]
     assert secrets.redact_text("nothing here") == "nothing here"
+
+
+PACKED = gzip.compress((SECRET + " " + "".join(chr(33 + i * i % 90) for i in range(60))).encode(), mtime=0)
+HIDDEN = {
+    "after a path": "/v1/" + b64(SECRET),
+    "after a prefix": "cfg-" + b64(SECRET),
+    "after a url": "https://h.example/cb/" + b64(SECRET),
+    "packed after a path": "/api/v1/" + b64(PACKED),
+    "utf-16le": b64(SECRET.encode("utf-16-le")),
+    "utf-16be": b64(SECRET.encode("utf-16-be")),
+    "control bytes": b64(b"\x00\x01\x02" + SECRET.encode() + b"\x00\xff\xfe"),
+    "packed utf-16": b64(gzip.compress(SECRET.encode("utf-16"))),
+    "quoted gzip": urllib.parse.quote(PACKED),
+    "quote_plus gzip": urllib.parse.quote_plus(PACKED),
+    "quoted zlib after a prefix": "q-" + urllib.parse.quote(zlib.compress(SECRET.encode())),
+    "literal": repr(PACKED),
+    "second member": b64(gzip.compress(b"nothing here") + gzip.compress(SECRET.encode())),
+    "second bzip2 stream": b64(bz2(b"nothing here") + bz2(SECRET.encode())),
+    "binary in gzip": b64(gzip.compress(b"\x00\xff" * 20 + SECRET.encode() + b"\x00" * 9)),
+}
+
+
+@pytest.mark.parametrize("name", HIDDEN)
+def test_layers_that_are_text_only_in_part(name):
+    text = f"before é {HIDDEN[name]} after"
+    base, spans = spans_of(text)
+    assert not [s for s in base if s[0] == "assign"]
+    lo, hi = len("before é "), len(text) - len(" after")
+    assert any(s[0] == "assign" and lo <= s[1] < s[2] <= hi for s in spans)
+    assert not [s for s in spans_of(secrets.redact_text(text))[1] if s[0] == "assign"]
