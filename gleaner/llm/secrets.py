@@ -12,8 +12,9 @@ characters, the whole run where bytes were decompressed.
 
 Defined results: a null or empty text has no spans; equal spans of different layers count once; repeated rows
 give repeated results; other columns of the input are neither read nor returned by ``scan``.
-Bound: the layers of one document decode to at most ``MAX_DECODED`` characters together; what is left is
-counted in ``n_unfinished``, never dropped silently.  Base findings have no bound.
+Bound: the layers of one document decode to at most ``MAX_DECODED`` characters together, or ``MORE`` times its own
+length if that is more, so that only decompression or very deep nesting reaches it; what is left is counted in
+``n_unfinished``, and ``redact`` masks the range it came from.  Base findings have no bound.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from . import _spark as S
 KINDS = ("assign", "access", "hex")
 #: Decoded characters of one document's layers together.
 MAX_DECODED = 1 << 25
+#: Layers as long as the document that fit whatever its length.
+MORE = 64
 
 _ASSIGN = re.compile(r"""(?ai)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -86,6 +89,7 @@ class _Layer:
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, cut: bool = False):
         self.text, self.start, self.end, self.cut = text, start, end, cut
+        self.source: tuple[int, int] | None = None  # of a layer that came from one range, even an empty one
 
     def range(self, a: int, b: int) -> tuple[int, int]:
         if self.start is None or self.end is None:
@@ -269,7 +273,9 @@ def _escaped(layer: _Layer, room: int) -> Iterator[_Layer]:
 
 def _whole(layer: _Layer, a: int, b: int, text: str, cut: bool) -> _Layer:
     s, e = layer.range(a, b)
-    return _Layer(text, np.full(len(text), s), np.full(len(text), e), cut)
+    out = _Layer(text, np.full(len(text), s), np.full(len(text), e), cut)
+    out.source = s, e
+    return out
 
 
 def _base64(layer: _Layer, room: int) -> Iterator[_Layer]:
@@ -316,21 +322,29 @@ DECODERS = (_percent, _unicode, _escaped, _base64)
 
 def scan_text(text: str, max_decoded: int = MAX_DECODED) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, layers decoded and layers left because of ``max_decoded``; spans by start, then kind."""
+    base, spans, layers, left = _scan(text, max_decoded)
+    return base, spans, layers, len(left)
+
+
+def _scan(text: str, max_decoded: int) -> tuple[list[Span], list[Span], int, list[tuple[int, int]]]:
+    """As ``scan_text``, but with the range of the text that each layer left came from."""
     order = lambda spans: sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     base = base_spans(text)
     first = _Layer(text)
-    spans, seen, room, left = set(base), {first.key()}, max_decoded, 0
+    spans, seen, room = set(base), {first.key()}, max(max_decoded, MORE * len(text))
+    left: list[tuple[int, int]] = []
     todo = deque([first])
     while todo:
         layer = todo.popleft()
         for decoder in DECODERS:
             for new in decoder(layer, max(room, 0)):
-                left += new.cut
+                if new.cut:
+                    left.append(new.source or new.range(0, len(new.text)))
                 if not new.text or (key := new.key()) in seen:
                     continue
                 seen.add(key)
                 if len(new.text) > room:
-                    left += 1
+                    left.append(new.source or new.range(0, len(new.text)))
                     continue
                 room -= len(new.text)
                 spans.update((kind, *new.range(a, b)) for kind, a, b in base_spans(new.text))
@@ -359,9 +373,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return S.map_arrow(S.documents(docs, id_col, text_col), step, SCHEMA)
 
 
-def redact_text(text: str) -> str:
-    """The text with each secret replaced by [kind]; overlapping spans are one, named by the first."""
-    spans = scan_text(text)[1]
+def redact_text(text: str, max_decoded: int = MAX_DECODED) -> str:
+    """The text with each secret replaced by [kind], and by [unfinished] what was not decoded to its end; overlapping spans are one, named by the first."""
+    _, spans, _, left = _scan(text, max_decoded)
+    if left:
+        spans = sorted([*spans, *(("unfinished", a, b) for a, b in left)], key=lambda s: s[1])
     out, at, i = [], 0, 0
     while i < len(spans):
         kind, a, b = spans[i]

@@ -166,3 +166,15 @@ def test_layers_that_are_text_only_in_part(name):
     lo, hi = len("before é "), len(text) - len(" after")
     assert any(s[0] == "assign" and lo <= s[1] < s[2] <= hi for s in spans)
     assert not [s for s in spans_of(secrets.redact_text(text))[1] if s[0] == "assign"]
+
+
+def test_layers_beyond_the_bound():
+    bomb = b64(zlib.compress(b"z " * 50_000 + SECRET.encode()))
+    out = secrets.redact_text(f"one {bomb} two", max_decoded=1000)
+    assert out == "one [unfinished] two"
+    escaped = SECRET.replace("p", "%70")
+    for _ in range(4):
+        escaped = escaped.replace("%", "%25")
+    long = "plain words " * 200 + escaped
+    assert secrets.scan_text(long, max_decoded=1000)[3] == 0
+    assert "hunter2" not in secrets.redact_text(long, max_decoded=1000)
