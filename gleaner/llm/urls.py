@@ -7,7 +7,9 @@ A host is blocked if its distrust exceeds ``ratio`` times its trust; hosts that
 
 Edges are the distinct pairs of different hosts of absolute or protocol-relative ``href`` values, aggregated on
 the map side.  Each iteration joins edges with ranks on the link's source (or target) and sums by target (or
-source), so a hub costs a skewed join at most, which Spark splits; ranks are checkpointed every iteration.
+source), so a hub costs a skewed join at most, which Spark splits; ranks are checkpointed every iteration.  Without
+a number of ``iterations`` they go on until no rank changes by ``TOLERANCE``; what is then still on its way is less
+than the margin of the verdict, however long the chains of links are.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is allowed unless
 its (empty) host is blocked, which can't be; null html has no links; repeated rows weigh each for itself as
@@ -16,6 +18,7 @@ seeds and are judged alike; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -24,7 +27,8 @@ from pyspark.sql import functions as F
 
 from . import _spark as S
 
-ITERATIONS, DAMPING, RATIO = 12, 0.85, 1.0
+ITERATIONS, DAMPING, RATIO = 12, 0.85, 1.0  # the SQL unrolls so many
+TOLERANCE = 1e-13
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 
@@ -76,7 +80,7 @@ def links(pages: DataFrame) -> DataFrame:
     return found.select("src", dst.alias("dst")).where("src <> dst AND src <> '' AND dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, iterations: int | None = None, damping: float = DAMPING) -> DataFrame:
     """(host, trust, distrust).  ``seeds``: host, allowed, blocked (pages); each rank sums to 1 if it has seeds.
 
     Rank that reaches a host without onward links goes back to the seeds.
@@ -91,17 +95,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS,
     edges = S.kept(edges.join(out, "src").join(into, "dst"))
     hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
     hosts = S.kept(hosts.join(seeds, "host", "left").na.fill(0.0).join(out.withColumnRenamed("src", "host"), "host", "left").join(into.withColumnRenamed("dst", "host"), "host", "left"))
-    ranks = hosts.select("host", F.col("s").alias("trust"), F.col("z").alias("distrust"))
-    for _ in range(iterations):
+    ranks = hosts.select("host", F.col("s").alias("trust"), F.col("z").alias("distrust"), F.lit(1.0).alias("change"))
+    for _ in itertools.count() if iterations is None else range(iterations):
         forth = edges.join(ranks.select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("trust") / F.col("out")).alias("t"))
         back = edges.join(ranks.select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.col("distrust") / F.col("into")).alias("d"))
-        stuck = hosts.join(ranks, "host").agg(F.sum(F.when(F.col("out").isNull(), F.col("trust"))).alias("t"), F.sum(F.when(F.col("into").isNull(), F.col("distrust"))).alias("d")).first()
+        stuck = hosts.join(ranks, "host").agg(F.sum(F.when(F.col("out").isNull(), F.col("trust"))).alias("t"), F.sum(F.when(F.col("into").isNull(), F.col("distrust"))).alias("d"), F.max("change").alias("change")).first()
+        if iterations is None and stuck.change < TOLERANCE:
+            break
         step = lambda got, seed, lost: (1 - damping + damping * (lost or 0.0)) * F.col(seed) + damping * F.coalesce(F.col(got), F.lit(0.0))
-        ranks = S.kept(hosts.join(forth, "host", "left").join(back, "host", "left").select("host", step("t", "s", stuck.t).alias("trust"), step("d", "z", stuck.d).alias("distrust")))
-    return ranks
+        trust, distrust = step("t", "s", stuck.t), step("d", "z", stuck.d)
+        change = F.greatest(F.abs(trust - F.col("trust")), F.abs(distrust - F.col("distrust")))
+        ranks = S.kept(hosts.join(ranks.drop("change"), "host").join(forth, "host", "left").join(back, "host", "left").select("host", trust.alias("trust"), distrust.alias("distrust"), change.alias("change")))
+    return ranks.drop("change")
 
 
-def judge(pages: DataFrame, rules: list[str], iterations: int = ITERATIONS, damping: float = DAMPING, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: list[str], iterations: int | None = None, damping: float = DAMPING, ratio: float = RATIO, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
     known = [Rule.of(r) for r in rules]
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"))

@@ -102,3 +102,12 @@ def test_rules():
     for bad in ("deny x/", "allow", ""):
         with pytest.raises(ValueError):
             urls.Rule.of(bad)
+
+
+def test_ranks_reach_the_end_of_a_long_chain(spark):
+    """20 links before a blocked host: each is suspect, as it leads only there."""
+    link = lambda host: f'<a href="http://{host}/">'
+    rows = [(i, f"http://h{i}.net/", link(f"h{i + 1}.net")) for i in range(20)] + [(20, "http://h20.net/", "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, ["block h20.net", "allow good.org"], damping=0.5).collect()}
+    assert got == dict.fromkeys(range(21), "block")
