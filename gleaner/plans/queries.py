@@ -305,8 +305,10 @@ def train_sgd_scores(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels")
     qrels = labels.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(t).alias("rel")) for t in ("quality", "toxic")))).alias("q")).select("q.topic", "doc_id", "q.rel")
     tf = kept(_tf(spark, sf_dir))
-    model = kept(training.train_on(tf, qrels, iterations=20_000))
-    return tf.join(model, "token").groupBy("topic", "doc_id").agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+    model = kept(training.train_on(tf, qrels))
+    docs = _docs(spark, sf_dir)
+    each = [scoring.by_scan(docs, tf, model.where(F.col("topic") == t).drop("topic")).select(F.lit(t).alias("topic"), "doc_id", "score") for t in ("quality", "toxic")]
+    return each[0].unionByName(each[1])
 
 
 # --- n-grams and hashes ---
