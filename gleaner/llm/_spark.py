@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes, of an Arrow batch that goes to Python; texts can be long.
@@ -31,6 +31,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, **more: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``kept``, with the number of rows as "rows" and further aggregates, taken while the rows are written."""
+    seen = Observation()
+    df = kept(df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in more.items())))
+    return df, {name: int(n or 0) for name, n in seen.get.items()}
+
+
+def broadcast_if(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
 def size_of(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes of ``df``; for a scan, those of its files."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,7 +1,9 @@
 """Connected components of links, by alternating large and small stars in Spark.
 
-Each round is two grouped minima joined back to the links, so no vertex' links are gathered anywhere; rounds are
-checkpointed.  It ends when a round changes no link, after O(log^2 n) rounds at most.
+A round takes the smallest neighbour of each node by a grouped minimum, which is joined back to the links, so no
+vertex' links are gathered anywhere: minima are combined on the map side, and the joins are free to split a hot
+node.  Minima of at most ``MOST_BROADCAST`` nodes are broadcast.  Rounds are checkpointed.  The minima also show
+whether what is left is stars, which ends it, after O(log^2 n) rounds at most.
 """
 
 from __future__ import annotations
@@ -11,36 +13,42 @@ from pyspark.sql import functions as F
 
 from . import _spark as S
 
+#: Nodes, of 16 bytes, up to which their smallest neighbours are broadcast.
+MOST_BROADCAST = 250_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b); component: the smallest node reachable.
 
-    Null ends and loops are ignored, repeated links count once; without links the result is empty.
+    Null ends and loops are ignored, repeated links count once; without links the result is empty.  It is marked for
+    broadcast up to ``MOST_BROADCAST`` nodes.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    links = S.kept(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(high.alias("a"), low.alias("b")).distinct())
-    state = _state(links)
-    while state[0]:
-        links = S.kept(_small_star(_large_star(links)))
-        before, state = state, _state(links)
-        if state == before:
-            break
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    links = S.kept(links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(high.alias("a"), low.alias("b")))
+    while True:
+        nodes, seen = S.counted(_nodes(links), open=F.count_if(F.expr("smaller > 0 AND (larger > 0 OR smallest <> most)")))
+        few = seen["rows"] <= MOST_BROADCAST
+        if not seen["open"]:
+            # stars: a node that is no center has one neighbour, its center
+            return S.broadcast_if(nodes.select("node", F.least("node", "smallest").alias("component")), few)
+        links = S.kept(_small_star(_large_star(links, nodes, few), few))
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first())
+def _nodes(links: DataFrame) -> DataFrame:
+    """node, its smallest neighbour, the largest of those smaller than itself, and how many links go each way."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("end")).select("end.*")
+    down = F.col("other") < F.col("node")
+    return ends.groupBy("node").agg(F.min("other").alias("smallest"), F.max(F.when(down, F.col("other"))).alias("most"), F.count_if(down).alias("smaller"), F.count_if(~down).alias("larger"))
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
     """Links the larger neighbours of each node to its smallest neighbour or itself."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = nodes.select(F.col("node").alias("b"), F.least("node", "smallest").alias("m"))
+    return links.join(S.broadcast_if(least, few), "b").select("a", F.col("m").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, few: bool) -> DataFrame:
     """Links each node and its smaller neighbours to the smallest of them; every link has a > b."""
     least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    moved = links.join(S.broadcast_if(least, few), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+    return moved.where("a <> b").distinct()

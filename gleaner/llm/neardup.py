@@ -8,14 +8,14 @@
 3. Prefix: with keys ordered by how many share them, two candidates share a key among the first
    COORDINATES - AGREE + 1 of each.  Only those are kept, so keys of common passages are skipped as long as a
    text has rarer ones; keys of one text alone need no list at all.
-4. In each list every text is paired with the smallest; pairs are merged over lists, counted on all coordinates,
+4. Each text is paired with the smallest of each of its lists; pairs are merged over lists, counted on all coordinates,
    compared by size and confirmed on full sets.  Lists whose texts these links already join are skipped.
 5. What is left are lists that still hold several components, such as families of texts at 0.7 and the groups of
    copies among them.  A list is cut into blocks, and each pair of blocks is a cell: one task looks through its
    signatures for candidates across components and gives out no pairs, only the texts that have any.  Their full
    sets then meet in the cell, where every pair across components is counted exactly and a link goes out only if
-   it joins two components, so rows grow with texts and not with pairs.  These links join the first ones to the
-   final components.
+   it joins two components, so rows grow with texts and not with pairs.  These links then join the first
+   components.
 
 Only texts of candidates are read again for their sets.  Hot lists are counted by map-side aggregation and joined
 with skew splitting; nothing about documents reaches the driver.
@@ -42,7 +42,7 @@ COORDINATES, AGREE = 64, 34
 PREFIX = COORDINATES - AGREE + 1
 #: Texts, and shingles, of a block of a list whose components are compared with each other.
 BLOCK, WEIGHT = 4096, 1 << 21
-#: Ids of candidates up to which they are broadcast to the scan of texts: 8 bytes each, some 40 in a hash table.
+#: Rows of ids up to which they are broadcast: 8 bytes an id, some 40 in a hash table.
 MOST_BROADCAST = 250_000
 
 _A = W.mix(np.arange(1, COORDINATES + 1, dtype=W.U) * W.U(0xD1342543DE82EF95)) | W.U(1)
@@ -99,72 +99,57 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, hashes) of the documents in ``wanted``: broadcast up to ``MOST_BROADCAST`` ids, else joined by a shuffle."""
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted.hint("shuffle_hash")
+    """(doc_id, shingles) of the documents in ``wanted``: broadcast up to ``MOST_BROADCAST`` ids, else joined by a shuffle."""
+    wanted, seen = S.counted(wanted.distinct())
+    wanted = F.broadcast(wanted) if seen["rows"] <= MOST_BROADCAST else wanted.hint("shuffle_hash")
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc_id")
         for lo, hi, data, offsets in W.blocks(batch.column("text")):
             hashes, edges = shingle_sets(data, offsets, k)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([hashes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["doc_id", "hashes"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(hashes.view(np.int64)))], ["doc_id", "shingles"])
 
-    return S.map_arrow(S.documents(docs, id_col, text_col).join(wanted, "doc_id", "left_semi"), step, "doc_id bigint, hashes binary")
+    return S.map_arrow(S.documents(docs, id_col, text_col).join(wanted, "doc_id", "left_semi"), step, "doc_id bigint, shingles array<bigint>")
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of representatives that are candidates by all coordinates and size and pass on full sets."""
-    own = lambda c: reps.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("minima").alias(f"minima_{c}"))
-    likely = pairs.join(own("a"), "a").join(own("b"), "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("minima_a", "minima_b")) >= AGREE))
-    likely = S.kept(likely.select("a", "b"))
-    wanted = S.kept(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = S.kept(_sets(docs, wanted, k, id_col, text_col))
-    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("hashes").alias(f"set_{c}"))
-
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U)
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            if 100 * same >= percent * (len(both) - same):
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return S.map_arrow(likely.join(own("a"), "a").join(own("b"), "b").select("a", "b", "set_a", "set_b"), step, "a bigint, b bigint").distinct()
-
-
-def _prefixes(reps: DataFrame) -> DataFrame:
-    """(doc_id, key) of the lists that a representative stays in: those of its PREFIX rarest keys that others share."""
-    posts = reps.select("doc_id", F.posexplode("minima").alias("i", "least")).select("doc_id", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("least")).alias("key"))
-    shared = posts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    own = posts.join(shared, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("size", "key"))).alias("own"))  # at most COORDINATES
+    own = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("minima").alias(f"minima_{c}"))
+    sized = pairs.join(own("b"), "b").join(own("a"), "a").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("minima_a", "minima_b")) >= AGREE))
+    likely, seen = S.counted(sized.select("a", "b"))
+    sets = S.kept(_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")), k, id_col, text_col))
+    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"set_{c}"))
+    full = own("b").join(S.broadcast_if(likely, seen["rows"] <= MOST_BROADCAST), "b").join(own("a"), "a")
+    same = F.size(F.array_intersect("set_a", "set_b"))
+    return full.where((100 + percent) * same >= percent * (F.size("set_a") + F.size("set_b"))).select("a", "b")
+
+
+def _prefixes(classes: DataFrame) -> DataFrame:
+    """(doc_id, n, lists) of each representative: size, key and smallest text of those of its PREFIX rarest keys that others share."""
+    posts = classes.select("rep", "n", F.posexplode("minima").alias("i", "least")).select("rep", "n", (F.shiftleft(F.col("i").cast("bigint"), 32) + F.col("least")).alias("key"))
+    shared = posts.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
+    own = posts.join(shared, "key").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("size", "key", "first"))).alias("own"))  # at most COORDINATES
     stays = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - (COORDINATES - PREFIX)))
-    return own.select("doc_id", F.explode(stays).alias("own")).select("doc_id", "own.key")
-
-
-def _stars(lists: DataFrame) -> DataFrame:
-    """(a, b): the smallest text of a list with each other."""
-    least = lists.groupBy("key").agg(F.min("doc_id").alias("a"))
-    return lists.join(least, "key").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
+    return own.select(F.col("rep").alias("doc_id"), "n", stays.alias("lists")).where(F.size("lists") > 0)
 
 
-def _across(lists: DataFrame, parts: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int, weight: int) -> DataFrame | None:
-    """Links (a, b) between components that share a list; None if no list holds two components."""
-    in_parts = lists.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    in_parts = in_parts.join(reps.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id")
+def _across(own: DataFrame, parts: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int, weight: int) -> DataFrame | None:
+    """Links (a, b) of components that share a list and hold texts which are linked; None if no list holds two components."""
+    stays = F.aggregate("lists", F.lit(0).cast("bigint"), lambda bits, x: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x["key"], 32).cast("int"))))
+    in_parts = own.join(parts, own["doc_id"] == parts["node"], "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), stays.alias("stays"), F.explode("lists").alias("list"))
+    in_parts = in_parts.select("doc_id", "n", "component", "stays", "list.key")
     mixed = in_parts.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     blocks = F.ceil(F.greatest(F.col("size") / block, F.col("weight") / weight)).cast("int")
-    left = S.kept(in_parts.join(mixed.select("key", blocks.alias("blocks")), "key"))
-    if left.isEmpty():
+    left, seen = S.counted(in_parts.join(mixed.select("key", blocks.alias("blocks")), "key"), cells=F.sum("blocks"))
+    if not seen["rows"]:
         return None
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    cells = left.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "component")
-    stays = lists.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(key, 32) AS INT))")).alias("stays"))
-    looked = cells.join(reps.select("doc_id", "minima").join(stays, "doc_id"), "doc_id")
-    near = S.kept(_by_cell(looked.select(*_CELL, "minima", "stays"), _candidates, ", ".join(f"{c} bigint" for c in _CELL)))
-    sets = S.kept(_sets(docs, S.kept(near.select("doc_id").distinct()), k, id_col, text_col))
-    return _by_cell(near.join(sets, "doc_id").select(*_CELL, "hashes"), lambda rows: _links(rows, percent), "a bigint, b bigint").distinct()
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cells = left.withColumn("own", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "doc_id", "component", "stays")
+    looked = S.broadcast_if(cells, seen["cells"] <= MOST_BROADCAST).join(classes.select(F.col("rep").alias("doc_id"), "minima"), "doc_id")
+    near, seen = S.counted(_by_cell(looked.select(*_CELL, "minima", "stays"), _candidates, ", ".join(f"{c} bigint" for c in _CELL)))
+    sets = _sets(docs, near.select("doc_id"), k, id_col, text_col)
+    met = S.broadcast_if(near, seen["rows"] <= MOST_BROADCAST).join(sets, "doc_id")
+    return _by_cell(met.select(*_CELL, "shingles"), lambda rows: _links(rows, percent), "a bigint, b bigint")
 
 
 _CELL = ["key", "i", "j", "own", "doc_id", "component"]
@@ -220,14 +205,14 @@ def _candidates(rows: pa.Table) -> pa.RecordBatch:
 
 
 def _links(rows: pa.Table, percent: int) -> pa.RecordBatch:
-    """Links across a cell's blocks that join components, exact on full sets; no link between what is joined already."""
+    """Components across a cell's blocks that links join, exact on full sets; none between what is joined already."""
     i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-    own, ids = rows["own"].to_numpy(), rows["doc_id"].to_numpy()
-    part = np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
-    sets = [np.frombuffer(x.as_buffer(), W.U) for x in rows["hashes"]]
-    sizes = np.array([len(x) for x in sets])
+    own, ids = rows["own"].to_numpy(), rows["component"].to_numpy()
+    part = np.unique(ids, return_inverse=True)[1]
+    sets = rows["shingles"].combine_chunks()
+    sizes = sets.value_lengths().to_numpy().astype(np.int64)
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    terms = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    terms = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     flag = np.zeros(int(terms.max(initial=-1)) + 1, np.int32)
     starts = edges[:-1]
@@ -247,22 +232,32 @@ def _links(rows: pa.Table, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _same_ids(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) of the classes in which a doc_id is repeated with other texts; None if there are none."""
+    prints = F.xxhash64("n", "f1", "f2")
+    repeated, seen = S.counted(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(prints).alias("low"), F.max(prints).alias("high")).where("low <> high").select("doc_id"))
+    if not seen["rows"]:
+        return None
+    nodes = signed.where("n > 0").join(repeated, "doc_id").join(classes.select("n", "f1", "f2", "rep"), ["n", "f1", "f2"])
+    least = nodes.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return nodes.join(least, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, weight: int = WEIGHT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.  ``percent``: least similarity of a link."""
     signed = S.kept(signatures(docs, k, id_col, text_col))
-    classes = signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    members = S.kept(signed.drop("minima").join(classes, ["n", "f1", "f2"], "left"))
-    reps = signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "n", "f1", "f2"]).groupBy("doc_id", "n", "f1", "f2").agg(F.max("minima").alias("minima"))
-    repeated = members.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
-    same = members.join(repeated, "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
-    reps = S.kept(reps)
-    lists = S.kept(_prefixes(reps))
-    first = S.kept(_confirm(_stars(lists), reps, docs, k, percent, id_col, text_col).unionByName(same))
-    parts = S.kept(components(first))
-    more = _across(lists, parts, reps, docs, k, percent, id_col, text_col, block, weight)
+    classes = S.kept(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("minima").alias("minima")))
+    own = S.kept(_prefixes(classes))
+    # all lists of a text are in its row, so the pairs are distinct
+    stars = own.select(F.explode(F.array_distinct(F.col("lists.first"))).alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    first, same = _confirm(stars, classes, docs, k, percent, id_col, text_col), _same_ids(signed, classes)
+    parts = components(first if same is None else first.unionByName(same))
+    more = _across(own, parts, classes, docs, k, percent, id_col, text_col, block, weight)
+    owners = classes.select("n", "f1", "f2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("component", "rep").alias("component"))
     if more is not None:
-        parts = S.kept(components(first.unionByName(more)))
-    out = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        over = components(more).select("node", F.col("component").alias("over"))
+        owners = owners.join(over, F.col("component") == F.col("node"), "left").select("n", "f1", "f2", F.coalesce("over", "component").alias("component"))
+    out = signed.drop("minima").join(owners, ["n", "f1", "f2"], "left")
     # a doc_id without a class of its own is its own component
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

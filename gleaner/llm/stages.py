@@ -30,14 +30,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; of rows that repeat a doc_id, one."""
+    """One document of each group stays, that of the smallest doc_id, by shingles of five words.
+
+    Of rows that repeat a doc_id, the first by text and then the other columns that can be ordered.
+    """
     S.ready(spark)
-    found = S.kept(neardup.near_duplicates(docs))
-    drop = S.kept(found.where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct())
-    drop_side = F.broadcast(drop) if drop.count() <= MOST_BROADCAST else drop
-    out = docs.join(drop_side, docs["doc_id"].cast("bigint") == drop_side["dropped"], "left_anti")
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1)
-    return out if repeated.isEmpty() else out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id IS NULL"))
+    found, seen = S.counted(neardup.near_duplicates(docs), dropped=F.count_if(~F.col("kept")))
+    drop = S.broadcast_if(found.where("NOT kept").select(F.col("doc_id").alias("dropped")), seen["dropped"] <= MOST_BROADCAST)
+    out = docs.join(drop, docs["doc_id"].cast("bigint") == drop["dropped"], "left_anti")
+    if found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return out
+    order = F.struct("text", *(c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith(("map", "variant", "struct", "array"))))
+    single = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
+    return single.unionByName(out.where("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
