@@ -7,9 +7,10 @@ replaces padding.  At its end a partition pours its open windows together, which
 window at most; those are poured together in turn, ``FAN_IN`` partitions a group, round by round, until one
 window of the whole input is left.  Only that one is padded.
 
-Ids are those of a byte-level BPE file of the public tokenizers, without special tokens; words between single
-spaces are encoded once per worker and remembered (``REMEMBERED`` at most), which changes nothing as a space
-before a word always begins a new piece of this vocabulary's pattern.
+Ids are those that ``tokenizers`` gives for a byte-level BPE file, without special tokens added; what a text holds
+literally of an added token, such as ``<|endoftext|>``, is that token's id there.  Words between single spaces are
+encoded once per worker and remembered (``REMEMBERED`` at most), which changes nothing: a space that no white space
+stands next to always begins a new piece of this vocabulary's pattern.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each for itself; a null
 doc_id stays null.  Sequence ids follow from the partition and the order within it, so a task that is run again
@@ -18,6 +19,7 @@ over the same files makes the same sequences; the pieces are checkpointed before
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ from . import _spark as S
 FAN_IN = 64
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
+#: White space side by side, and the spaces with none beside them.
+_RUN, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Words(dict):
@@ -54,36 +58,35 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of whole texts.  ``path``: a ranks file (.tiktoken) or a tokenizers file (.json) of one vocabulary.
+    """Ids of whole texts as ``tokenizers`` gives them for ``path``, a file of its own (.json).
 
-    A .json file is read with its own library; where its ranks lie beside it, words are merged by the faster
-    one, whose ids are the same (see the tests).
+    Where the same vocabulary's ranks lie beside it (.tiktoken), words are merged by the faster library, whose ids
+    are the same; texts with an added token are left to the slower one.
     """
 
     def __init__(self, path: str):
         import base64
         import os
 
-        import tiktoken
-        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
+        own = Tokenizer.from_file(path)
+        self.whole = self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
+        self.added = re.compile("|".join(re.escape(t.content) for t in own.get_added_tokens_decoder().values()) or r"(?!)")
         ranks_file = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks_file):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
             with open(ranks_file, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        else:
-            from tokenizers import Tokenizer
-
-            own = Tokenizer.from_file(path)
-            own.encode_special_tokens = True
-            self.encode = lambda text: own.encode(text, add_special_tokens=False).ids
         self.words = _Words(self.encode)
 
     def ids(self, text: str) -> bytes:
-        if "  " in text:
-            return np.array(self.encode(text), "<u4").tobytes()
-        head, *rest = text.split(" ")
+        if self.added.search(text):
+            return np.array(self.whole(text), "<u4").tobytes()
+        head, *rest = _CUT.split(text) if _RUN.search(text) else text.split(" ")
         return np.array(self.encode(head), "<u4").tobytes() + b"".join(map(self.words.__getitem__, rest))
 
 

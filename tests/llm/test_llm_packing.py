@@ -14,9 +14,7 @@ from gleaner.llm.queries import bpe_path, op5_packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(bpe_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(bpe_path())
 
 
 def check(rows, ids, size):
@@ -81,3 +79,23 @@ def test_windows_fill_best():
     w.add(6, bytes(4 * 8))
     w.add(7, bytes(4 * 5))  # fits nowhere: the fullest goes out with the head of it
     assert [p[0] for p in out[-1]] == [5, 7] and len(out) == 3
+
+
+#: Letters, digits, marks, emoji and contractions, and all that some library takes for white space.
+PARTS = [*"abcZ's\u00e9\u4e2d\u0663\u00b2\u2167#!\u2026\U0001f642\u0301\u0903\u200d\U0001d7d8\u01c5", "<|endoftext|>", "'ll", "don't", "123"]
+SPACES = [" ", " ", " ", "\n", *(chr(c) for c in (9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x2009, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF, 0))]
+
+
+def test_ids_are_the_tokenizer_s(tokenizer):
+    """On random white space, scripts, contractions and added tokens; a text's ids are those of the unaltered library."""
+    rng, enc = random.Random(5), packing.Encoder(bpe_path())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|", " \xa0 \xa0", "a \xa0 \xa0 b", "a \x85 b", "a\u2028 b", " a", "a ", " ", "a  b c"]
+    texts += ["".join(rng.choice(SPACES if rng.random() < 0.5 else PARTS) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    for text in texts:
+        assert np.frombuffer(enc.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_added_tokens_in_documents(spark, tokenizer):
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "a \xa0 \xa0 b", "", None]
+    ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    check(packing.pack(plain(spark, dict(enumerate(texts))), bpe_path(), 8).collect(), ids, 8)
