@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import with_checkpoints
+
 #: Rows, and bytes, of an Arrow batch that goes to Python; texts can be long.
 ARROW_ROWS, ARROW_BYTES = 4096, 4 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Small Arrow batches, and a checkpoint folder if the session has none.
-
-    On a cluster spark.checkpoint.dir names a folder that all executors share; only where it is unset, as in
-    local tests, a temporary folder of this machine is taken.
-    """
+    """Small Arrow batches, and a checkpoint folder if the session has none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+    with_checkpoints(spark)
 
 
 def kept(df: DataFrame) -> DataFrame:
