@@ -12,6 +12,12 @@ from ..session import kept
 from . import scoring, training
 
 
+#: Fixed values of the fail-out rules: reviewed documents above which each is asked, share of relevant ones that
+#: stops the first, and new relevant ones and share below which the second stops.
+MANY_REVIEWED, MANY_SHARE = 300, 0.5
+SOME_REVIEWED, FEW_NEW, FEW_SHARE = 150, 3, 0.4
+
+
 def labelled(found: DataFrame, qrels: DataFrame) -> DataFrame:
     """``found`` with rel from ``qrels`` (doc_id, rel); unjudged documents have 0."""
     return found.join(qrels.select("doc_id", "rel"), "doc_id", "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
@@ -37,9 +43,9 @@ class Stop:
             return "all relevant found"
         if self.max_steps and step >= self.max_steps:
             return "maximum steps"
-        if self.fail_out and reviewed > 300 and share > 0.5:
+        if self.fail_out and reviewed > MANY_REVIEWED and share > MANY_SHARE:
             return "many relevant after 300 documents"
-        if self.fail_out and reviewed > 150 and new < 3 and share < 0.4:
+        if self.fail_out and reviewed > SOME_REVIEWED and new < FEW_NEW and share < FEW_SHARE:
             return "few relevant after 150 documents"
         if self.zero_steps and zeros > self.zero_steps:
             return "no relevant in recent steps"

@@ -5,6 +5,7 @@ The review queries take ``labels.quality`` as judgments and an integer centroid
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, tokens, vectors
 from ..operators import index, review, scoring, training
-from ..session import kept, spread
+from ..session import kept, shared_folder, spread
+from ..sources import files
+from ..sources.collection import Collection
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -187,7 +190,10 @@ def term_idf_ratio(spark, sf_dir):
     return index.term_ratios(_tf(spark, sf_dir), _docs(spark, sf_dir).count()).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"WITH {IDS} SELECT doc_int, tf FROM enc WHERE tok_id = (SELECT tok_id FROM vocab WHERE token = 'the')")
+DOCMAP = "docmap AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS doc_int FROM (SELECT DISTINCT doc_id FROM documents))"
+
+
+@query(f"WITH {DOCMAP}, one AS (SELECT doc_id, count(*) AS tf FROM ({_tokens_sql('documents')}) WHERE token = 'the' GROUP BY doc_id) SELECT doc_int, tf FROM one JOIN docmap USING (doc_id)")
 def posting_lookup(spark, sf_dir):
     """One token's list."""
     tf = _tf(spark, sf_dir).where("token = 'the'")
@@ -200,11 +206,72 @@ def vector_lookup(spark, sf_dir):
     return index.term_frequencies(_docs(spark, sf_dir).where("doc_id = 7")).select("token", "tf")
 
 
+# --- a collection on disk ---
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Collection:
+    """A collection of the documents, written to the shared folder and opened again."""
+    path = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    Collection.build(spread(_docs(spark, sf_dir)), path, tokens.words)
+    return Collection.open(spark, path)
+
+
+STRINGS = """dm AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS doc_int FROM (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id FROM documents)),
+vocab AS (SELECT token, row_number() OVER (ORDER BY token) AS tok_id FROM (SELECT DISTINCT token FROM tf))"""
+
+
+@query(f"WITH {TF}, {STRINGS} SELECT (SELECT tok_id FROM vocab WHERE token = 'the') AS tok_id, dm.doc_id, doc_int, tf FROM (SELECT * FROM tf WHERE token = 'the') t JOIN dm ON dm.doc_id = CAST(t.doc_id AS VARCHAR)")
+def collection_posting_list(spark, sf_dir):
+    """One token's list from the lists on disk: its id from the dictionary, its row groups, ids back to names."""
+    c = _built(spark, sf_dir)
+    tok_id = c.token_id("the")
+    return c.posting_list(tok_id).join(c.docmap, "doc_int").select(F.lit(tok_id).cast("bigint").alias("tok_id"), "doc_id", F.col("doc_int").cast("bigint").alias("doc_int"), "tf")
+
+
+@query(f"WITH {TF}, {STRINGS} SELECT vocab.tok_id, token, tf FROM tf JOIN vocab USING (token) WHERE doc_id = 7")
+def collection_feature_vector(spark, sf_dir):
+    """One document's vector from the vectors on disk."""
+    c = _built(spark, sf_dir)
+    return c.feature_vector(c.document_int("7")).join(c.vocab, "tok_id").select(F.col("tok_id").cast("bigint").alias("tok_id"), "token", "tf")
+
+
+@query(f"WITH {TF} SELECT CAST(doc_id AS VARCHAR) AS doc_id, token, tf FROM tf")
+def collection_tf(spark, sf_dir):
+    """All terms of a collection read back, with ids decoded by its dictionaries."""
+    return _built(spark, sf_dir).tf()
+
+
+@query(f"""WITH {TF}, {STRINGS}, n AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, round(sqrt(sum(tf * tf)), 6) AS norm, round(log10((SELECT count(*) FROM documents) / count(*)), 6) AS idf FROM tf GROUP BY doc_id)
+SELECT doc_id, doc_int, norm, idf FROM dm LEFT JOIN n USING (doc_id)""")
+def collection_documents(spark, sf_dir):
+    """Numbers, norms and idf of a collection's documents, read back."""
+    c = _built(spark, sf_dir)
+    return c.docmap.join(c.norms, "doc_id", "left").join(c.idf, "doc_id", "left").select("doc_id", F.col("doc_int").cast("bigint").alias("doc_int"), F.round("norm", 6).alias("norm"), F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {TF}, {STRINGS} SELECT tok_id, count(*) AS by_token, count(*) AS by_document, 0 AS apart FROM tf JOIN vocab USING (token) GROUP BY tok_id")
+def collection_forms(spark, sf_dir):
+    """Both stored forms, lists and vectors, compared entry by entry: entries of each, and those whose tf differ or are in one only."""
+    c = _built(spark, sf_dir)
+    lists, vectors = (c.table(name).select("tok_id", "doc_int", F.col("tf").alias(name)) for name in ("tf_by_token", "tf_by_document"))
+    both = lists.join(vectors, ["tok_id", "doc_int"], "full")
+    return both.groupBy(F.col("tok_id").cast("bigint").alias("tok_id")).agg(F.count("tf_by_token").alias("by_token"), F.count("tf_by_document").alias("by_document"), F.count_if(~F.col("tf_by_token").eqNullSafe(F.col("tf_by_document"))).cast("int").alias("apart"))
+
+
+@query(f"WITH {MODEL} SELECT 'quality' AS topic, token, CAST(w AS DOUBLE) AS w FROM model WHERE w <> 0")
+def collection_model(spark, sf_dir):
+    """A model saved with a collection and loaded again."""
+    c = _built(spark, sf_dir)
+    judged = _judged(spark, sf_dir).withColumn("doc_id", F.col("doc_id").cast("string"))
+    c.save_model(scoring.centroid_model(c.tf(), judged).select(F.lit("quality").alias("topic"), "token", F.col("w").cast("double").alias("w")), "centroid")
+    return c.model("centroid").select("topic", "token", "w")
+
+
 # --- scoring ---
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    docs, tf, judged = _docs(spark, sf_dir), _tf(spark, sf_dir), _judged(spark, sf_dir)
+    docs, tf, judged = _docs(spark, sf_dir), kept(_tf(spark, sf_dir)), _judged(spark, sf_dir)  # tf makes the model and the scores
     return docs, tf, judged, scoring.centroid_model(tf, judged)
 
 
@@ -252,6 +319,55 @@ def sparse_vectors(spark, sf_dir):
     return e.select("vec_id", F.size("sparse.idx").cast("bigint").alias("stored"), F.col("sparse.length").cast("bigint").alias("length"), same.cast("bigint").alias("same"))
 
 
+# --- readers ---
+
+
+def _written(df: DataFrame, name: str, form: str, **options: str) -> str:
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).format(form).save(path)
+    return path
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments as "topic iteration docid rel" lines, with a comment."""
+    rows = _table(spark, sf_dir, "labels").select(F.concat_ws(" ", F.lit("quality"), F.lit("0"), "doc_id", "quality").alias("value"))
+    return rows.unionByName(spark.createDataFrame([("# a comment",)], "value string"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents")
+def read_json_documents(spark, sf_dir):
+    """JSON lines, compressed by gzip, written and read."""
+    path = _written(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "corpus", "json", compression="gzip")
+    return files.json_documents(spark, path)
+
+
+@query("SELECT 'quality' AS topic, CAST(doc_id AS VARCHAR) AS doc_id, quality AS rel FROM labels")
+def read_qrels(spark, sf_dir):
+    """Lines of judgments, written compressed and read; the comment is skipped."""
+    return files.qrels(spark, _written(_lines(spark, sf_dir), "qrels", "text", compression="gzip"))
+
+
+@query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS doc_id FROM labels")
+def read_excludes(spark, sf_dir):
+    """Documents to be left out, from lines of judgments without comments."""
+    return files.excludes(spark, _written(_lines(spark, sf_dir).where("value NOT LIKE '#%'"), "exclude", "text"))
+
+
+@query("SELECT 'quality' AS topic, CAST(doc_id AS VARCHAR) AS doc_id, CAST(n AS INTEGER) AS rank FROM (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 30")
+def read_pool(spark, sf_dir):
+    """Pool lines, written and read down to a depth."""
+    rows = _pool(spark, sf_dir, 60).select(F.concat_ws(" ", F.lit("quality"), "doc_id", "rank", F.lit("run")).alias("value"))
+    return files.pool(spark, _written(rows, "pool", "text"), "quality", 30)
+
+
+@query("SELECT doc_id, arg_max(rel, line_no) AS rel FROM (SELECT doc_id, quality AS rel, doc_id AS line_no FROM labels UNION ALL SELECT doc_id, 1 - quality, doc_id + 1000000000 FROM labels WHERE doc_id % 3 = 0) GROUP BY doc_id")
+def last_judgments(spark, sf_dir):
+    """Of a document's repeated judgments the last counts."""
+    once = _judged(spark, sf_dir).select(F.lit("quality").alias("topic"), "doc_id", "rel", F.col("doc_id").alias("line_no"))
+    again = once.where("doc_id % 3 = 0").select("topic", "doc_id", (1 - F.col("rel")).alias("rel"), (F.col("line_no") + 1000000000).alias("line_no"))
+    return files.last_judgments(once.unionByName(again), "quality")
+
+
 # --- judgments ---
 
 
@@ -285,7 +401,7 @@ def missing_docs(spark, sf_dir):
     return training.missing(moved, _docs(spark, sf_dir))
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY md5(doc_id || ':0'), doc_id LIMIT 25")
 def sample_negatives(spark, sf_dir):
     return training.sampled_negatives(_docs(spark, sf_dir), 25, _judged(spark, sf_dir))
 
@@ -319,9 +435,9 @@ def ngram_counts(spark, sf_dir):
     return spread(_docs(spark, sf_dir)).select(F.explode(tokens.plain_ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length_grapheme(t)), lambda i: substring_grapheme(t, i, 2))) AS gram FROM (SELECT nfc_normalize(lower(text)) AS t FROM documents)) GROUP BY gram")
 def grapheme_ngram_counts(spark, sf_dir):
-    """Of arbitrary text: NFKC and grapheme clusters."""
+    """Of arbitrary text: NFKC and grapheme clusters.  DuckDB has NFC only, the same for these texts."""
     return spread(_docs(spark, sf_dir)).select(F.explode(tokens.ngrams(F.col("text"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 

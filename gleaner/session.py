@@ -2,23 +2,44 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join is broadcast; each caller's rows are a few dozen bytes.
 MOST_BROADCAST = 200_000
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """``df`` computed now and kept without its lineage in the folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in local tests, a temporary folder of this machine is taken.
+    Where it is unset, a temporary folder of this machine if the session is a local one, as in tests; else an error.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="gleaner-")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def with_checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder if the session has none."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` computed now and kept without its lineage in the shared checkpoint folder."""
+    with_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -60,6 +60,15 @@ class Collection:
     def stats(self) -> DataFrame:
         return self.table("stats")
 
+    @property
+    def idf(self) -> DataFrame:
+        """(doc_id, idf), by the number of a document's distinct tokens."""
+        return self.table("idf")
+
+    @property
+    def norms(self) -> DataFrame:
+        return self.table("norms")
+
     def token_id(self, token: str) -> int | None:
         row = self.vocab.where(F.col("token") == token).first()
         return row and row.tok_id

@@ -184,3 +184,26 @@ def test_start_from_a_model(tf, judged):
     model = training.train_on(tf, qrels, iterations=300)
     again = training.train_on(tf, qrels, iterations=300, initial=model)
     assert again.count() > 100 and again.where("w = 0 OR isnan(w)").isEmpty()
+
+
+@pytest.mark.parametrize("root_norms", [False, True])
+def test_descent_equals_a_plain_loop(root_norms):
+    """Dense vectors, each step written out: shrink, add the pair's gain, project."""
+    rng, lam, size = np.random.default_rng(3), 1e-3, 30
+    sides = [[(np.sort(rng.choice(size, 6, replace=False)), rng.integers(1, 5, 6).astype(float)) for _ in range(9)] for _ in range(2)]
+    first = rng.normal(size=size)
+    got = training.descend(*sides, size, iterations=500, lam=lam, seed=4, initial=first, root_norms=root_norms)
+    draw = np.random.default_rng(4)
+    picks = [draw.integers(9, size=500), draw.integers(9, size=500)]
+    dense = [[np.bincount(at, v, size) for at, v in side] for side in sides]
+    w, square = first, 0.0
+    for t in range(1, 501):
+        p, n = dense[0][picks[0][t - 1]], dense[1][picks[1][t - 1]]
+        gain = 1 / (lam * t) / (1 + np.exp(min(w @ (p - n), 700)))
+        w = w * (t - 1) / t
+        norm = np.linalg.norm if root_norms else lambda v: v @ v
+        square = square * ((t - 1) / t) ** 2 + 2 * gain * (w @ (p - n)) + gain**2 * (norm(p) + norm(n) - 2 * p @ n)
+        w = w + gain * (p - n)
+        if square > 1 / lam:
+            w, square = w * np.sqrt(1 / lam / square), 1 / lam
+    np.testing.assert_allclose(got, w, rtol=1e-8, atol=1e-8)
