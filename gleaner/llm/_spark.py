@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,6 +44,12 @@ def size_of(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def stands_still(df: DataFrame) -> bool:
+    """Whether ``df`` comes straight from files, given rows or a checkpoint, so that its rows keep their partitions and order."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return set(re.findall(r"(?m)^[\s:+|-]*(\w+)", plan)) <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"}
+
+
 def parts_for(df: DataFrame, each: int, most: int = 1 << 16) -> int:
     """As many parts as give each about ``each`` estimated bytes."""
     return max(1, min(most, -(-size_of(df) // each)))

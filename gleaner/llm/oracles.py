@@ -15,13 +15,18 @@ def _quoted(text: str) -> str:
 def stupid_backoff() -> str:
     return rf"""
 WITH words AS ({_WORDS}),
-tok AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(list_prepend(NULL, w[:len(w) - 1])) AS before FROM words WHERE len(w) > 0),
+tok AS (SELECT doc_id, unnest(w) AS word, unnest([NULL] || w[:len(w) - 1]) AS a, unnest([NULL, NULL] || w[:len(w) - 2]) AS b FROM words WHERE len(w) > 1
+  UNION ALL SELECT doc_id, w[1], NULL, NULL FROM words WHERE len(w) = 1),
 one AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
-two AS (SELECT before, word, count(*) AS n FROM tok WHERE before IS NOT NULL GROUP BY before, word),
+two AS (SELECT a, word, count(*) AS n FROM tok WHERE a IS NOT NULL GROUP BY a, word),
+three AS (SELECT b, a, word, count(*) AS n FROM tok WHERE b IS NOT NULL GROUP BY b, a, word),
+shorter AS (
+  SELECT tok.*, CASE WHEN tok.a IS NULL THEN ln(w.n / t.n) WHEN two.n >= 2 THEN ln(two.n / c.n) ELSE ln(0.4) + ln(w.n / t.n) END AS s
+  FROM tok JOIN one w ON w.word = tok.word LEFT JOIN one c ON c.word = tok.a
+  LEFT JOIN two ON two.a = tok.a AND two.word = tok.word, (SELECT count(*) AS n FROM tok) t),
 scored AS (
-  SELECT tok.doc_id, CASE WHEN tok.before IS NULL THEN ln(b.n / t.n) WHEN two.n >= 2 THEN ln(two.n / a.n) ELSE ln(0.4) + ln(b.n / t.n) END AS s
-  FROM tok JOIN one b ON b.word = tok.word LEFT JOIN one a ON a.word = tok.before
-  LEFT JOIN two ON two.before = tok.before AND two.word = tok.word, (SELECT count(*) AS n FROM tok) t),
+  SELECT x.doc_id, CASE WHEN x.b IS NULL THEN x.s WHEN three.n >= 2 THEN ln(three.n / c.n) ELSE ln(0.4) + x.s END AS s
+  FROM shorter x LEFT JOIN three ON three.b = x.b AND three.a = x.a AND three.word = x.word LEFT JOIN two c ON c.a = x.b AND c.word = x.a),
 sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log_score
 FROM documents d LEFT JOIN sums USING (doc_id)
