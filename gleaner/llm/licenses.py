@@ -1,19 +1,20 @@
 """License scans with DataFrame functions only: sparse TF-IDF cosine, then nearest-ancestor inheritance.
 
-A text's passages are its sentences and lines ("headers"), and, if its name says so or it has many of the
-templates' words, its whole text ("licence files").  Each is a sparse vector of term counts times inverse document
-frequency, which is counted over all texts; a term outside the templates weighs as one of no document.  A
-passage takes the template of highest cosine, from ``threshold`` on, the first name of equals; a text takes the
-best of its passages.  A text without one inherits that of the nearest ancestor directory that holds a licence
-file, by joins of the distinct directories' ancestors with the directories of licence files.
-
-Only passages with two uncommon template terms (or one, if they have no more words than ``SHORT``) are taken apart
-further, which no passage at the threshold fails but those made of common words.  What is broadcast is made of
-the templates: their terms, weights and document frequencies.
+A text's passages are its sentences and lines ("headers") and the whole of it ("licence files").  Each is a sparse
+vector of term counts times inverse document frequency, which is counted over all texts; a term outside the templates
+weighs as one of no document.  A passage takes the template of highest cosine, from ``threshold`` on, the first name
+of equals; a text takes the best of its passages.  It is a licence file if the whole of it is at the threshold, or if
+it has a licence and its name says so.  A text without a licence inherits that of the nearest ancestor directory that
+holds a licence file, by joins of the distinct directories' ancestors with the directories of licence files.
+
+Texts and passages that cannot reach the threshold are left aside by a bound that loses none: a cosine is at most the
+length of the template's vector over the shared terms (Cauchy-Schwarz), so the squared greatest weights of a passage's
+template terms have to add up to the squared threshold.  What is broadcast is made of the templates (their terms,
+weights and document frequencies), or counted first.
 
 Defined results: null or empty texts have no passage; a null path has no directory; repeated rows are judged
 alike; of several licence files in a directory the one of highest cosine counts, then the first name; the
-result's columns are its own.  Rows are told apart by doc_id and path; equal ones share their passages.
+result's columns are its own.  Rows are told apart by doc_id, path and the hash of the text.
 """
 
 from __future__ import annotations
@@ -25,15 +26,12 @@ from pyspark.sql import functions as F
 
 from . import _spark as S
 
-THRESHOLD, SHORT = 0.6, 8
-#: Distinct uncommon template terms from which a whole text is compared.
-MANY = 12
+THRESHOLD = 0.6
+#: Texts with a licence, and directories that inherit one, up to which they are broadcast.
+MOST_BROADCAST = 50_000
 _TERM = r"[a-z0-9]+(?:[.][0-9]+)*"
 _BREAK = r"\n|(?<=[.!?;])[ \t\r]+"
 _FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$"
-#: Too common to make a passage worth a look.
-COMMON = frozenset("a an and any as be by for from in is it its no not of on or other that the this to under with you your version may all work".split())
-
 #: (licence, text): short statements, headers and openings of public licences.
 TEMPLATES = [
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -85,43 +83,62 @@ def _vectors(templates: list[tuple[str, str]], df: dict[str, int], n: int) -> li
     return out
 
 
+def _bound(terms: Column, most: dict[str, float]) -> Column:
+    """What the squared cosine of a passage of these distinct template terms may be at most."""
+    known = F.array(*map(F.lit, sorted(most)))
+
+    def add(total: Column, term: Column) -> Column:
+        step = None
+        for name, square in sorted(most.items(), key=lambda x: -x[1]):
+            step = F.when(term == name, square) if step is None else step.when(term == name, square)
+        return total + step.otherwise(0.0)
+
+    return F.aggregate(F.array_intersect(terms, known), F.lit(0.0), add)
+
+
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
     """doc_id, path, own and cosine (of the text's best passage, null for none), is_file, license of every row."""
     spark = files.sparkSession
     S.ready(spark)
     own = files.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    known, telling = F.array(*map(F.lit, vocabulary)), F.array(*(F.lit(t) for t in vocabulary if t not in COMMON))
+    known = F.array(*map(F.lit, vocabulary))
     # one row per term: bounded by the templates
     n = own.count()
     df = {r.term: r.n for r in own.select(F.explode(F.array_intersect(_terms(F.col("text")), known)).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    weights = F.broadcast(spark.createDataFrame(_vectors(templates, df, n) or [("", "", 0.0)], "term string, template string, weight double"))
+    vectors = _vectors(templates, df, n)
+    most: dict[str, float] = {}
+    for term, _, w in vectors:
+        most[term] = max(most.get(term, 0.0), w * w)
+    least = threshold * threshold - 1e-6
+    weights = F.broadcast(spark.createDataFrame(vectors or [("", "", 0.0)], "term string, template string, weight double"))
     idf = F.broadcast(spark.createDataFrame([(t, math.log((1 + n) / (1 + df.get(t, 0)))) for t in vocabulary], "term string, idf double"))
 
-    name = F.regexp_extract("path", r"[^/]*$", 0)
-    text_terms = own.where("text <> ''").select("doc_id", "path", name.rlike(_FILE).alias("named"), "text", F.size(F.array_intersect(_terms(F.col("text")), telling)).alias("telling"))
-    hits = text_terms.where("telling > 0")
-    parts = hits.select("doc_id", "path", F.posexplode(F.split("text", _BREAK)).alias("passage", "part")).withColumn("terms", _terms(F.col("part")))
-    seen = F.size(F.array_intersect("terms", telling))
-    parts = parts.where((seen >= 2) | ((seen == 1) & (F.size("terms") <= SHORT))).select("doc_id", "path", "passage", "terms")
-    whole = hits.where(F.col("named") | (F.col("telling") >= MANY)).select("doc_id", "path", F.lit(-1).alias("passage"), _terms(F.col("text")).alias("terms"))
-    counted = parts.unionByName(whole).select("doc_id", "path", "passage", F.explode("terms").alias("term")).groupBy("doc_id", "path", "passage", "term").agg(F.count("*").alias("tf"))
-    # null-safe identity of a row
+    named = F.regexp_extract("path", r"[^/]*$", 0).rlike(_FILE)
+    able = own.where(_bound(_terms(F.col("text")), most or {"": 0.0}) >= least)
+    parts = F.transform(F.split("text", _BREAK), lambda part, i: F.struct(i.alias("passage"), _terms(part).alias("terms")))
+    whole = F.array(F.struct(F.lit(-1).alias("passage"), _terms(F.col("text")).alias("terms")))
+    passages = F.filter(F.concat(whole, parts), lambda p: _bound(p["terms"], most or {"": 0.0}) >= least)
+    row = F.struct("doc_id", "path", F.xxhash64("text").alias("mark"))
+    parts = able.select(row.alias("row"), F.explode(passages).alias("p")).select(F.struct("row", "p.passage").alias("of"), F.explode("p.terms").alias("term"))
+    counted = parts.groupBy("of", "term").agg(F.count("*").alias("tf"))
     counted = counted.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(math.log(1 + n))))
-    counted = S.kept(counted.select(F.struct("doc_id", "path", "passage").alias("of"), "term", "w"))
+    counted = S.kept(counted.select("of", "term", "w"))
     lengths = counted.groupBy("of").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     products = counted.join(weights, "term").groupBy("of", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    # repeated rows add up both products and lengths, which leaves the cosine as it is
     cosine = F.round(F.col("dot") / F.col("length"), 9)
-    close = products.join(lengths, "of").select("of.*", F.substring_index("template", "\n", 1).alias("license"), cosine.alias("cosine")).where(F.col("cosine") >= threshold)
-    best = close.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"), F.max(F.col("passage") < 0).alias("whole"))
-    best = S.kept(best.select("doc_id", "path", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("cosine"), (F.col("whole") | name.rlike(_FILE)).alias("is_file")))
+    close = products.join(lengths, "of").select("of.row", "of.passage", F.substring_index("template", "\n", 1).alias("license"), cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    best = close.groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "license")).alias("best"), F.max(F.col("passage") < 0).alias("whole"))
+    best = best.select("row.doc_id", "row.path", "row.mark", F.col("best.license").alias("own"), (-F.col("best.minus")).alias("cosine"), "whole")
+    best, seen = S.counted(best.select("doc_id", "path", "mark", "own", "cosine", (F.col("whole") | F.coalesce(named, F.lit(False))).alias("is_file")))
 
-    rows = own.select("doc_id", "path").join(best.select(F.col("doc_id").alias("d"), F.col("path").alias("p"), "own", "cosine", "is_file"), F.col("doc_id").eqNullSafe(F.col("d")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("d", "p")
-    rows = rows.withColumn("directory", directory(F.col("path")))
+    found = best.select(F.struct("doc_id", "path", "mark").alias("found"), "own", "cosine", "is_file")
+    rows = own.select("doc_id", "path", row.alias("row"), directory(F.col("path")).alias("directory")).join(S.broadcast_if(found, seen["rows"] <= MOST_BROADCAST), F.col("row").eqNullSafe(F.col("found")), "left").drop("row", "found")
     held = best.where("is_file AND path IS NOT NULL").groupBy(directory(F.col("path")).alias("ancestor")).agg(F.min(F.struct((-F.col("cosine")).alias("minus"), "own")).getField("own").alias("theirs"))
     ways = rows.where("own IS NULL AND directory IS NOT NULL").select("directory").distinct().select("directory", F.explode(ancestors(F.col("directory"))).alias("ancestor"))
-    nearest = ways.join(held, "ancestor").groupBy("directory").agg(F.max_by("theirs", F.length("ancestor")).alias("theirs"))
-    return rows.join(nearest, "directory", "left").select("doc_id", "path", "own", "cosine", F.coalesce("is_file", F.lit(False)).alias("is_file"), F.coalesce("own", "theirs").alias("license"))
+    nearest, seen = S.counted(ways.join(held, "ancestor").groupBy("directory").agg(F.max_by("theirs", F.length("ancestor")).alias("theirs")))
+    return rows.join(S.broadcast_if(nearest, seen["rows"] <= MOST_BROADCAST), "directory", "left").select("doc_id", "path", "own", "cosine", F.coalesce("is_file", F.lit(False)).alias("is_file"), F.coalesce("own", "theirs").alias("license"))
 
 
 def directory(path: Column) -> Column:

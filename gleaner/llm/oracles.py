@@ -80,7 +80,6 @@ FROM ruled p LEFT JOIN r{urls.ITERATIONS} r ON r.host = p.host
 
 def license_scan() -> str:
     templates = ", ".join(f"({_quoted(name)}, {i}, [{', '.join(map(_quoted, licenses.terms_of(text)))}])" for i, (name, text) in enumerate(licenses.TEMPLATES))
-    common = ", ".join(map(_quoted, sorted(licenses.COMMON)))
     return rf"""
 WITH docs AS (SELECT row_number() OVER () AS id, doc_id, concat_ws('/', source, lang, doc_id) AS path, coalesce(text, '') AS text FROM documents),
 files AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|unlicense|notice)([._-].*)?$') AS named,
@@ -88,17 +87,14 @@ files AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, regexp
 templates(name, i, terms) AS (VALUES {templates}),
 pairs AS (SELECT name, i, unnest(terms) AS term FROM templates),
 total AS (SELECT count(*) AS n FROM docs),
-vocabulary AS (SELECT term, term NOT IN ({common}) AS telling FROM (SELECT DISTINCT term FROM pairs)),
+vocabulary AS (SELECT DISTINCT term FROM pairs),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM files) JOIN vocabulary USING (term) GROUP BY term),
-idf AS (SELECT term, telling, ln((1 + n) / (1 + coalesce(df, 0))) AS idf FROM vocabulary LEFT JOIN df USING (term), total),
+idf AS (SELECT term, ln((1 + n) / (1 + coalesce(df, 0))) AS idf FROM vocabulary LEFT JOIN df USING (term), total),
 weights AS (SELECT name, i, term, count(*) * any_value(idf) AS w FROM pairs JOIN idf USING (term) GROUP BY ALL),
 unit AS (SELECT name, i, term, w / sqrt(sum(w * w) OVER (PARTITION BY i)) AS w FROM weights),
-telling AS (SELECT id, count(*) AS telling FROM (SELECT id, unnest(list_distinct(terms)) AS term FROM files) JOIN vocabulary USING (term) WHERE telling GROUP BY id),
-split AS (SELECT id, regexp_extract_all(translate(unnest(string_split_regex(regexp_replace(text, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), '\n')), {_AZ}), '[a-z0-9]+(?:[.][0-9]+)*') AS terms FROM files JOIN telling USING (id)),
+split AS (SELECT id, regexp_extract_all(translate(unnest(string_split_regex(regexp_replace(text, '([.!?;])[ \t\r]+', '\1' || chr(10), 'g'), '\n')), {_AZ}), '[a-z0-9]+(?:[.][0-9]+)*') AS terms FROM files),
 numbered AS (SELECT id, row_number() OVER () AS passage, terms FROM split WHERE len(terms) > 0),
-seen AS (SELECT passage, count(*) AS seen FROM (SELECT passage, unnest(list_distinct(terms)) AS term FROM numbered) JOIN vocabulary USING (term) WHERE telling GROUP BY passage),
-passages AS (SELECT id, passage, terms FROM numbered JOIN seen USING (passage) WHERE seen >= 2 OR len(terms) <= {licenses.SHORT}
-  UNION ALL SELECT id, -1, terms FROM files JOIN telling USING (id) WHERE named OR telling >= {licenses.MANY}),
+passages AS (SELECT id, passage, terms FROM numbered UNION ALL SELECT id, -1, terms FROM files),
 counted AS (SELECT id, passage, term, count(*) AS tf FROM (SELECT id, passage, unnest(terms) AS term FROM passages) GROUP BY ALL),
 weighed AS (SELECT id, passage, term, tf * coalesce(idf, ln(1 + n)) AS w FROM counted LEFT JOIN idf USING (term), total),
 lengths AS (SELECT id, passage, sqrt(sum(w * w)) AS length FROM weighed GROUP BY ALL),

@@ -24,7 +24,6 @@ def brute(rows):
     df = Counter(t for _, _, text in rows for t in set(licenses.terms_of(text or "")) & vocabulary)
     idf = {t: math.log((1 + len(rows)) / (1 + df[t])) for t in vocabulary}
     other = math.log(1 + len(rows))
-    telling = vocabulary - licenses.COMMON
 
     def cosine(a, b):
         a, b = ({t: n * idf.get(t, other) for t, n in Counter(x).items()} for x in (a, b))
@@ -36,15 +35,7 @@ def brute(rows):
         name = posixpath.basename(path or "")
         named = bool(re.match(r"(?i)(licen[cs]e|copying|unlicense|notice)([._-].*)?$", name))
         words = licenses.terms_of(text or "")
-        passages = []
-        if set(words) & telling:
-            for part in re.split(r"\n|(?<=[.!?;])[ \t\r]+", text):
-                own = licenses.terms_of(part)
-                seen = len(set(own) & telling)
-                if seen >= 2 or seen == 1 and len(own) <= licenses.SHORT:
-                    passages.append((own, False))
-            if named or len(set(words) & telling) >= licenses.MANY:
-                passages.append((words, True))
+        passages = [(licenses.terms_of(part), False) for part in re.split(r"\n|(?<=[.!?;])[ \t\r]+", text or "")] + [(words, True)]
         close = [(-round(c, 9), name, whole) for own, whole in passages for name, template in templates if (c := cosine(own, template)) >= licenses.THRESHOLD]
         best = min(close, default=None)
         is_file = bool(close) and (named or any(whole for _, _, whole in close))
