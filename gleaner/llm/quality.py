@@ -6,8 +6,9 @@ at most ``SAMPLE`` x ``RANK`` numbers, whatever the input.  Each partition compu
 documents, block by block, with all of them; the ``NEIGHBOURS`` nearest vote with a power of their cosine.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2; labels, language, source and id
-are no features.  Defined results: a null or empty text, and one without any positive cosine, gets the sample's
-mean label; without labelled rows every score is 0.5; repeated labels of an id count by their least; other
+are no features.  Defined results: a null or empty text, or one without terms, has no direction, so the ``NEIGHBOURS``
+labelled texts of fewest terms vote, and those that have as few as the last of these; a text without any positive
+cosine gets the sample's mean label; without labelled rows every score is 0.5; repeated labels of an id count by their least; other
 columns are not read.
 """
 
@@ -78,6 +79,8 @@ class Space:
         q = np.linalg.qr(q)[0]
         self.axes = (q @ np.linalg.svd(x @ q, full_matrices=False)[2][:rank].T).astype(np.float32)
         self.vectors, self.labels, self.mean = self._unit(x @ self.axes), labels.astype(np.float32), float(labels.mean())
+        size = counts.sum(1)
+        self.briefest = float(labels[size <= np.sort(size)[min(NEIGHBOURS, len(size)) - 1]].mean())
 
     def _weighed(self, counts: np.ndarray) -> np.ndarray:
         return self._unit(np.log1p(counts).astype(np.float32) * self.idf)
@@ -92,8 +95,8 @@ class Space:
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** POWER
         total = weight.sum(1)
-        empty = (counts.sum(1) == 0) | (total <= 0)
-        return np.where(empty, self.mean, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)).clip(0, 1)
+        votes = np.where(total > 0, (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.mean)
+        return np.where(counts.sum(1) == 0, self.briefest, votes).clip(0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Space | None:
