@@ -7,7 +7,7 @@ ignores those at its zeros, at every position of every benchmark item and docume
 one of the items', the two are laid over each other at that offset and compared word by word over their whole
 overlap; the segment that scores most (1 a match, -2 a substitution) is an overlap if it has ``LEAST`` matches
 and these are at least ``PERCENT`` of it.  Items of fewer than ``LEAST`` words, but at least ``SHORTEST``, count where they occur
-whole; still shorter ones are no evidence and aren't searched.
+whole; still shorter ones occur in any prose, so they count where they are all the words of a document.
 
 With ``whole``, as in the registered query and the pipeline, an item of at least ``SHORTEST`` words also counts where
 that percentage of all its words stands in the document under one offset, wherever the substitutions are; words
@@ -16,8 +16,8 @@ more words is substituted, one mask of ``CLOSE`` still has all its ones (three i
 or eight words leave only pairs).  A segment is given where there is one, else the whole item.
 
 The benchmark is joined on the map side, as a table of hashes held by each worker; it goes over the documents in
-blocks of about ``BLOCK_BYTES`` of text, one block for any usual benchmark, so what is broadcast is bounded.  No
-shuffle.
+blocks of about ``BLOCK_BYTES`` of text, one block for any usual benchmark, so what is broadcast is bounded: where
+there are several, what one finds is checkpointed and its table dropped before the next is sent.  No shuffle.
 
 Defined results: null or empty texts and items overlap with nothing; repeated documents give repeated rows,
 repeated items count each for itself; the best overlap of a document and item is given, the first of equals;
@@ -115,6 +115,7 @@ class Index:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.lengths: set[int] = set()
+        self.brief: dict[bytes, list[int]] = {}
         for lo, words in _words(pa.array(texts, pa.string())):
             self.items += [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
             long = words.count[words.row] >= least
@@ -133,6 +134,9 @@ class Index:
                 at, h = at[some], h[some]
                 close.append((h, words.row[at] + lo, at - words.first[words.row[at]]))
         self.seeds, self.close = _Seeds(found), _Seeds(close)
+        for i, own in enumerate(self.items):
+            if 0 < len(own) < shortest:
+                self.brief.setdefault(own.tobytes(), []).append(i)
         self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.own = np.concatenate(self.items) if self.items else np.zeros(0, W.U)
@@ -161,9 +165,14 @@ class Index:
         """(row, item's number, matches, aligned words, word of the document, word of the item), one for each row and item."""
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         near: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        if not len(self.seeds.hash):
+        if not len(self.seeds.hash) and not self.brief:
             return []
+        most = max(map(len, self.brief), default=0) // 8
         for base, words in _words(column):
+            for row in np.flatnonzero((words.count > 0) & (words.count <= most)).tolist():
+                own = words.hash[words.first[row] : words.first[row + 1]]
+                for item in self.brief.get(own.tobytes(), ()):
+                    best[row + base, item] = (len(own), len(own), 0, 0)
             for row, item, shift, matches in self._laid(words) if self.whole is not None else ():
                 doc, n = int(words.count[row]), len(self.items[item])
                 a, b = max(0, -shift), min(n, doc - shift)
@@ -199,8 +208,11 @@ _SCHEMA = "doc_id bigint, item_id bigint, matched bigint, aligned bigint, item_w
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole: int | None = None) -> DataFrame:
     """One row for each document and item that overlap."""
     own = S.documents(docs, id_col, text_col)
-    out = None
+    out = sent = None
     for index in _indexes(benchmark, item_col, item_text_col, least, shortest, whole):
+        if out is not None:
+            out = S.kept(out)
+            sent.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def step(batch: pa.RecordBatch, sent=sent) -> Iterator[pa.RecordBatch]:
@@ -217,9 +229,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, shortest: int = SHORTEST, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", whole: int | None = None) -> DataFrame:
     """``docs`` without the rows that overlap with an item."""
     S.ready(docs.sparkSession)
+    sent = None
     for index in _indexes(benchmark, item_col, item_text_col, least, shortest, whole):
+        if sent is not None:
+            docs = S.kept(docs)
+            sent.unpersist()
         sent = docs.sparkSession.sparkContext.broadcast(index)
-
         docs = docs.where(_free(sent)(F.col(text_col).cast("string")))
     return docs
 

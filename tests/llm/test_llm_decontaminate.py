@@ -43,7 +43,11 @@ def brute(texts, items):
         doc = words(text)
         for b, own_text in items.items():
             own = words(own_text)
-            if len(own) < D.SHORTEST or not set(own) & set(doc):
+            if len(own) < D.SHORTEST:
+                if own and own == doc:
+                    out[d, b] = len(own)
+                continue
+            if not set(own) & set(doc):
                 continue
             best = 0
             for shift in range(-len(own), len(doc)):
@@ -145,3 +149,26 @@ def test_scripts_without_spaces_and_marks_beyond_ascii():
     texts = [f"前置き。{items[0]}。そして", f"以前的文字，{swapped}！以后", f"ข้อความ{items[2]}จบ", "so: the quick brown fox jumps over the lazy dog today", "全く別の話をここに書いておく", None, ""]
     assert {r[:2] for r in index.search(pa.array(texts))} == {(i, i) for i in range(4)}
     assert [len(x) for x in index.items] == [*map(len, items[:3]), 10]
+
+
+def test_items_of_few_words_count_as_whole_documents(spark):
+    """And not inside other texts; several blocks of items find the same."""
+    texts = {1: "Yes", 2: "yes, of course", 3: "say yes", 4: "New York City!", 5: "to new york city", 6: "", 7: None}
+    items = {1: "yes", 2: "new york city", 3: "", 4: None, 5: "one two three four five six seven eight nine ten eleven twelve thirteen"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id): r.matched for r in D.overlaps(docs, benchmark).collect()} == {(1, 1): 1, (4, 2): 3}
+    assert {r.doc_id for r in D.clean(docs, benchmark).collect()} == {2, 3, 5, 6, 7}
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    """Each block's table is dropped before the next is sent; the result is that of one block."""
+    monkeypatch.setattr(D, "BLOCK_BYTES", 60)
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    texts = {i: f"{w} {passage.replace('seven', w)} {w}" for i, w in enumerate(["seven", "other", "red", "blue"])} | {9: "clean"}
+    items = {i: passage.replace("ten", w) for i, w in enumerate(["ten", "x", "y", "z"])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in D.overlaps(docs, benchmark, whole=75).collect()}
+    assert found == {(d, i) for d in range(4) for i in range(4)}
+    assert [r.doc_id for r in D.clean(docs, benchmark, whole=75).collect()] == [9]
