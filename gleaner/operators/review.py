@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +95,59 @@ def run(tf: DataFrame, pool: DataFrame, qrels: DataFrame, depth: int = 10, per_s
             return Review(judgments, model, reason, step)
 
 
+@dataclass
+class Reviews:
+    """Outcome of a loop over topics: judgments (topic, step, doc_id, rel), models (topic, token, w), and of each topic why it ended and after how many steps."""
+
+    judgments: DataFrame
+    models: DataFrame
+    reasons: dict[str, str]
+    steps: dict[str, int]
+
+
+def run_topics(tf: DataFrame, pool: DataFrame, qrels: DataFrame, depth: int = 10, per_step: int = 1, stop: Stop | None = None, trainer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Reviews:
+    """Reviews the topics of ``pool`` (topic, doc_id, rank) together, each by the rules of ``run``.
+
+    A step is one set of jobs over ``tf`` for all topics that are still open, however many there are; the driver holds
+    a few numbers a topic.  ``qrels``: topic, doc_id, rel.  ``trainer``: (tf, judged) to (topic, token, w), judged with
+    topics; the default is pairwise descent.
+    """
+    stop, trainer = stop or Stop(), trainer or training.train_on
+    both = ["topic", "doc_id"]
+
+    def judge(found: DataFrame, step: int) -> DataFrame:
+        rel = F.coalesce("rel", F.lit(0)).alias("rel")
+        return found.select(both).join(qrels.select(*both, "rel"), both, "left").select("topic", F.lit(step).alias("step"), "doc_id", rel)
+
+    known = {r.topic: (r.relevant, r.most) for r in qrels.groupBy("topic").agg(F.count_if(F.expr("rel > 0")).alias("relevant"), F.count("*").alias("most")).collect()}
+    judgments = kept(judge(pool.where(F.col("rank") <= depth), 0))
+    left = {r.topic: 0 for r in judgments.select("topic").distinct().collect()}  # steps since the last relevant one
+    models = kept(trainer(tf, judgments))
+    ended, reasons, steps, step = models.where("false"), {}, {}, 0
+    while left:
+        step += 1
+        found = scoring.top_by_topic(scoring.by_topic(tf, models, judgments), per_step)
+        judgments = kept(judgments.unionByName(judge(found, step)))
+        mine = judgments.where(F.col("topic").isin(list(left)))
+        now = F.col("step") == step
+        totals = mine.groupBy("topic").agg(F.count("*").alias("n"), F.count_if(F.expr("rel > 0")).alias("rel"), F.count_if(now & (F.col("rel") > 0)).alias("new"), F.count_if(now).alias("got")).collect()
+        models = kept(trainer(tf, mine))
+        closed = []
+        for t in totals:
+            relevant, most = known.get(t.topic, (0, 0))
+            left[t.topic] = 0 if t.new else left[t.topic] + 1
+            rules = stop if stop.max_steps is not None else replace(stop, max_steps=most)
+            reason = rules.reason(step, t.n, t.rel, relevant, t.new, left[t.topic]) or ("nothing left" if not t.got else None)
+            if reason:
+                reasons[t.topic], steps[t.topic] = reason, step
+                closed.append(t.topic)
+                del left[t.topic]
+        if closed:
+            ended = kept(ended.unionByName(models.where(F.col("topic").isin(closed))))
+            models = models.where(~F.col("topic").isin(closed))
+    return Reviews(judgments, ended, reasons, steps)
+
+
 def curve(judgments: DataFrame) -> DataFrame:
     """(step, new, new_rel, reviewed, rel_seen, step_precision) of each step; precision of what came after the seed."""
     by_step = judgments.groupBy("step").agg(F.count("*").alias("new"), F.count_if(F.expr("rel > 0")).alias("new_rel"))

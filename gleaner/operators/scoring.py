@@ -7,7 +7,7 @@ Ties are broken by doc_id ascending.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small
@@ -53,6 +53,25 @@ def top(scores: DataFrame, n: int, doc: str = "doc_id") -> DataFrame:
     return ranked.agg(F.array_sort(F.collect_list(order)).alias("all")).select(F.posexplode("all").alias("i", "r")).select(F.col("r")[doc].alias(doc), (-F.col("r.s")).alias("score"), (F.col("i") + 1).alias("rank"))
 
 
+def by_topic(tf: DataFrame, models: DataFrame, excludes: DataFrame | None = None, key: str = "token", doc: str = "doc_id") -> DataFrame:
+    """(topic, doc_id, score) by the models of several topics (topic, token, w), in one pass over ``tf``.
+
+    ``excludes``: topic, doc_id of what is left out.
+    """
+    weights = small(models.where("w <> 0").select("topic", key, "w"))
+    scores = tf.join(weights, key).groupBy("topic", doc).agg(F.sum(F.col("w") * F.col("tf")).alias("score"))
+    return scores if excludes is None else scores.join(small(excludes.select("topic", doc).distinct()), ["topic", doc], "left_anti")
+
+
+def top_by_topic(scores: DataFrame, n: int, doc: str = "doc_id") -> DataFrame:
+    """The ``n`` highest scores of each topic, ranked from 1; each task keeps n rows a topic before the shuffle."""
+    limit = "spark.sql.optimizer.windowGroupLimitThreshold"
+    conf = scores.sparkSession.conf
+    conf.set(limit, str(max(n, int(conf.get(limit)))))
+    best = Window.partitionBy("topic").orderBy(F.col("score").desc(), doc)
+    return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
 def terms_by_weight(model: DataFrame, n: int, key: str = "token") -> DataFrame:
     """The ``n`` non-zero weights of largest absolute value."""
     return model.where("w <> 0").orderBy(F.abs("w").desc(), key).limit(n)
@@ -68,6 +87,13 @@ def centroid_model(tf: DataFrame, judged: DataFrame, key: str = "token", doc: st
     return tf.join(small(judged.select(doc, "rel")), doc).groupBy(key).agg(F.sum(signed * F.col("tf")).alias("w"))
 
 
+def centroid_models(tf: DataFrame, judged: DataFrame, key: str = "token", doc: str = "doc_id") -> DataFrame:
+    """(topic, token, w): ``centroid_model`` of each topic of ``judged`` (topic, doc_id, rel)."""
+    sides = judged.groupBy("topic").agg(F.count_if(F.expr("rel > 0")).alias("pos"), F.count_if(F.expr("rel <= 0")).alias("neg"))
+    signed = judged.join(small(sides), "topic").select("topic", doc, F.when(F.col("rel") > 0, F.col("neg")).otherwise(-F.col("pos")).alias("by"))
+    return tf.join(small(signed), doc).groupBy("topic", key).agg(F.sum(F.col("by") * F.col("tf")).alias("w"))
+
+
 def to_json(scores: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(json): one object of docid and score per row."""
     return scores.select(F.to_json(F.struct(F.col(doc).alias("docid"), "score")).alias("json"))

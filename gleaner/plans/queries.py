@@ -415,11 +415,16 @@ def training_report(spark, sf_dir):
     return training.report(scores).withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
+def _topics(labels: DataFrame) -> DataFrame:
+    """(topic, doc_id, rel) by both columns of labels."""
+    each = F.array(*(F.struct(F.lit(t).alias("topic"), F.col(t).alias("rel")) for t in ("quality", "toxic")))
+    return labels.select("doc_id", F.explode(each).alias("q")).select("q.topic", "doc_id", "q.rel")
+
+
 @query()
 def train_sgd_scores(spark, sf_dir):
     """Pairwise descent on both topics, scores of all documents."""
-    labels = _table(spark, sf_dir, "labels")
-    qrels = labels.select("doc_id", F.explode(F.array(*(F.struct(F.lit(t).alias("topic"), F.col(t).alias("rel")) for t in ("quality", "toxic")))).alias("q")).select("q.topic", "doc_id", "q.rel")
+    qrels = _topics(_table(spark, sf_dir, "labels"))
     tf = kept(_tf(spark, sf_dir))
     model = kept(training.train_on(tf, qrels))
     docs = _docs(spark, sf_dir)
@@ -501,15 +506,19 @@ def _loop(spark: SparkSession, sf_dir: str) -> review.Review:
     return review.run(tf, _pool(spark, sf_dir, 30), _judged(spark, sf_dir), depth=30, per_step=10, stop=review.Stop(found_all=False, max_steps=_STEPS), trainer=scoring.centroid_model)
 
 
-def _loop_sql() -> str:
-    out = [f"WITH {TF}, {SEED}, j0 AS (SELECT 0 AS step, doc_id, rel FROM seed)"]
+def _steps_sql(label: str, seed: str, j: str = "j") -> str:
+    out = [f"{j}0 AS (SELECT 0 AS step, doc_id, rel FROM {seed})"]
     for i in range(1, _STEPS + 1):
-        out.append(f"""m{i} AS (SELECT token, sum(CASE WHEN rel > 0 THEN (SELECT count(*) FROM j{i - 1} WHERE rel <= 0) ELSE -(SELECT count(*) FROM j{i - 1} WHERE rel > 0) END * tf) AS w FROM tf JOIN j{i - 1} USING (doc_id) GROUP BY token),
-f{i} AS (SELECT doc_id, sum(w * tf) AS score FROM tf JOIN m{i} USING (token) WHERE w <> 0 AND doc_id NOT IN (SELECT doc_id FROM j{i - 1}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10),
-j{i} AS (SELECT * FROM j{i - 1} UNION ALL SELECT {i} AS step, doc_id, coalesce(quality, 0) AS rel FROM f{i} LEFT JOIN labels USING (doc_id))""")
+        out.append(f"""{j}m{i} AS (SELECT token, sum(CASE WHEN rel > 0 THEN (SELECT count(*) FROM {j}{i - 1} WHERE rel <= 0) ELSE -(SELECT count(*) FROM {j}{i - 1} WHERE rel > 0) END * tf) AS w FROM tf JOIN {j}{i - 1} USING (doc_id) GROUP BY token),
+{j}f{i} AS (SELECT doc_id, sum(w * tf) AS score FROM tf JOIN {j}m{i} USING (token) WHERE w <> 0 AND doc_id NOT IN (SELECT doc_id FROM {j}{i - 1}) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10),
+{j}{i} AS (SELECT * FROM {j}{i - 1} UNION ALL SELECT {i} AS step, doc_id, coalesce({label}, 0) AS rel FROM {j}f{i} LEFT JOIN labels USING (doc_id))""")
     return ", ".join(out)
 
 
+def _loop_sql() -> str:
+    return f"WITH {TF}, {SEED}, {_steps_sql('quality', 'seed')}"
+
+
 _CURVE_SQL = f"""{_loop_sql()}, c AS (SELECT step, count(*) AS new, count(*) FILTER (rel > 0) AS new_rel FROM j{_STEPS} GROUP BY step),
 curve AS (SELECT step, new, new_rel, CAST(sum(new) OVER w AS BIGINT) AS reviewed, CAST(sum(new_rel) OVER w AS BIGINT) AS rel_seen,
 CASE WHEN step > 0 THEN round(sum(CASE WHEN step > 0 THEN new_rel ELSE 0 END) OVER w / step, 6) END AS step_precision FROM c WINDOW w AS (ORDER BY step))"""
@@ -532,6 +541,20 @@ def cal_ap(spark, sf_dir):
     return review.average_precision(review.curve(_loop(spark, sf_dir).judgments), relevant).withColumn("ap", F.round("ap", 6))
 
 
+TOXIC_SEED = "toxic_seed AS (SELECT doc_id, toxic AS rel FROM labels JOIN (SELECT DISTINCT doc_id FROM documents) USING (doc_id) ORDER BY toxic DESC, doc_id LIMIT 40)"
+
+
+@query(f"""WITH {TF}, {SEED}, {TOXIC_SEED}, {_steps_sql('quality', 'seed')}, {_steps_sql('toxic', 'toxic_seed', 'k')}
+SELECT 'quality' AS topic, step, doc_id, rel FROM j{_STEPS} UNION ALL SELECT 'toxic' AS topic, step, doc_id, rel FROM k{_STEPS}""")
+def cal_topics(spark, sf_dir):
+    """Both topics reviewed together, a step at a time."""
+    labels, docs = _table(spark, sf_dir, "labels"), _docs(spark, sf_dir)
+    toxic = labels.join(docs, "doc_id", "left_semi").orderBy(F.desc("toxic"), "doc_id").limit(40).select(F.lit("toxic").alias("topic"), "doc_id", F.lit(1).alias("rank"))
+    pool = _pool(spark, sf_dir, 30).select(F.lit("quality").alias("topic"), "doc_id", "rank").unionByName(toxic)
+    done = review.run_topics(kept(_tf(spark, sf_dir)), pool, _topics(labels), depth=30, per_step=10, stop=review.Stop(found_all=False, max_steps=_STEPS), trainer=scoring.centroid_models)
+    return done.judgments
+
+
 # --- the other tables as corpora ---
 
 

@@ -127,6 +127,34 @@ def test_loop_by_scan(spark):
     assert {r.doc_id for r in review.run(tf, pool, qrels, scan=docs, **options).judgments.collect()} == {1, 2, 3, 4, 5}
 
 
+def test_topics_together_equal_topics_alone(spark, docs, tf, judged):
+    """Each topic ends as it does on its own: judgments, model, reason and step."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    qrels = judged.select(F.lit("quality").alias("topic"), "doc_id", "rel").unionByName(labels.select(F.lit("toxic").alias("topic"), "doc_id", F.col("toxic").alias("rel")))
+    few = spark.createDataFrame([("few", 1, 1), ("few", 2, 0)], "topic string, doc_id bigint, rel int")
+    qrels = qrels.unionByName(few)
+    pool = qrels.where("rel > 0").groupBy("topic").agg(F.min("doc_id").alias("doc_id"), F.lit(1).alias("rank")).unionByName(docs.where("doc_id IN (2, 5, 8)").crossJoin(qrels.select("topic").distinct()).select("topic", "doc_id", F.lit(2).alias("rank"))).dropDuplicates(["topic", "doc_id"]).cache()
+    options = {"per_step": 4, "stop": review.Stop(max_steps=3)}
+    every = review.run_topics(tf, pool, qrels, trainer=scoring.centroid_models, **options)
+    assert every.reasons == {"few": "all relevant found", "quality": "maximum steps", "toxic": "maximum steps"} and every.steps["few"] == 1
+    for t in every.reasons:
+        alone = review.run(tf, pool.where(F.col("topic") == t), qrels.where(F.col("topic") == t), trainer=scoring.centroid_model, **options)
+        mine = lambda df: df.where(F.col("topic") == t).drop("topic")  # noqa: B023, E731
+        assert (every.reasons[t], every.steps[t]) == (alone.reason, alone.steps)
+        for got, want in ((every.judgments, alone.judgments), (every.models, alone.model)):
+            assert sorted(map(tuple, mine(got).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_topics_by_descent(tf, judged, docs):
+    """The default trainer takes all topics at once; a topic of one side has no model and ends."""
+    qrels = judged.select(F.lit("quality").alias("topic"), "doc_id", "rel").unionByName(judged.select(F.lit("none").alias("topic"), "doc_id", F.lit(0).alias("rel")))
+    pool = qrels.select("topic", "doc_id", F.lit(1).alias("rank"))
+    done = review.run_topics(tf, pool, qrels, per_step=5, stop=review.Stop(found_all=False, max_steps=1), trainer=lambda *a: training.train_on(*a, iterations=300))
+    assert done.reasons == {"quality": "maximum steps", "none": "maximum steps"}
+    assert {r.topic for r in done.models.select("topic").distinct().collect()} == {"quality"}
+    assert done.judgments.where("step = 1 AND topic = 'quality'").count() == 5
+
+
 @pytest.mark.parametrize(("rule", "state", "reason"), [({}, (1, 10, 5, 5, 1, 0), "all relevant found"), ({"max_steps": 3}, (3, 10, 1, 5, 0, 0), "maximum steps"), ({"fail_out": True}, (1, 301, 200, 500, 5, 0), "many relevant after 300 documents"), ({"fail_out": True}, (1, 151, 20, 500, 2, 0), "few relevant after 150 documents"), ({"zero_steps": 2}, (9, 10, 1, 5, 0, 3), "no relevant in recent steps"), ({}, (1, 10, 1, 5, 0, 9), None)])
 def test_stop_rules(rule, state, reason):
     assert review.Stop(**rule).reason(*state) == reason
