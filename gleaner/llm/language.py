@@ -106,10 +106,19 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
-    """The best language of each word; ``first``: where each row's words begin, n + 1 of them."""
-    count = np.diff(first)
+    """The best language of each word; ``first``: where each row's words begin, n + 1 of them.
+
+    A word whose best language leads by more than a switch there and back has it on every best path.  Rows are cut
+    behind such words and the pieces go on side by side, so steps follow the longest piece and not the longest text.
+    """
+    top = np.sort(scores, 1)
+    sure = top[:, -1] - top[:, -2] > 2 * penalty if scores.shape[1] > 1 else np.ones(len(scores), bool)
+    starts = np.union1d(first, np.flatnonzero(sure) + 1)
+    count = np.diff(starts)
     order = np.argsort(-count, kind="stable")
-    begin, active = first[:-1][order], count[order]
+    begin, active = starts[:-1][order], count[order]
+    known = scores.argmax(1)[begin - 1]  # of the sure word before a piece, if it isn't a row's first
+    change = ~np.isin(begin, first)[:, None] & (known[:, None] != np.arange(scores.shape[1]))
     here = np.searchsorted(-active, -np.arange(int(count.max(initial=0))), "left")  # rows that have a word t
     switched, best_before = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int64)
     out, state = np.zeros(len(scores), np.int64), np.zeros((len(order), scores.shape[1]), np.float32)
@@ -124,7 +133,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             state[:n] = np.maximum(now, moved[:, None]) + scores[at]
             state[:n] -= state[:n].max(1, keepdims=True)
         else:
-            state[:n] = scores[at]
+            state[:n] = scores[at] - np.float32(penalty) * change
     last = state.argmax(1)
     for t in range(len(here) - 1, -1, -1):
         n = here[t]

@@ -79,3 +79,21 @@ def test_words_are_runs_of_letters():
     t = language.Letters(data, offsets)
     found = [[texts[i][s : s + n] for s, n in zip(t.start[a:b], t.length[a:b], strict=True)] for i, (a, b) in enumerate(zip(t.first[:-1], t.first[1:], strict=True))]
     assert found == [["Don", "t", "stop", "me", "x", "é", "ü"], [], ["日本語", "a"], ["x"], ["y"]]
+
+
+def test_cut_rows_lose_nothing():
+    """Long rows with sure words, whose pieces are decoded side by side, score as a plain program over the whole row does."""
+    rng = np.random.default_rng(5)
+    penalty, first = 2.5, np.array([0, 0, 1200, 1201, 3000])
+    scores = (rng.normal(size=(3000, 4)) * 2.5).astype(np.float32)
+    top = np.sort(scores, 1)
+    assert 50 < (top[:, -1] - top[:, -2] > 2 * penalty).sum() < 1500
+    path = language.viterbi(scores, first, penalty)
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if a == b:
+            continue
+        got = scores[np.arange(a, b), path[a:b]].astype(float).sum() - penalty * (np.diff(path[a:b]) != 0).sum()
+        state = scores[a].astype(float)
+        for t in range(a + 1, b):
+            state = np.maximum(state, state.max() - penalty) + scores[t]
+        assert got == pytest.approx(state.max(), abs=1e-3)
