@@ -541,7 +541,7 @@ def cal_ap(spark, sf_dir):
     return review.average_precision(review.curve(_loop(spark, sf_dir).judgments), relevant).withColumn("ap", F.round("ap", 6))
 
 
-TOXIC_SEED = "toxic_seed AS (SELECT doc_id, toxic AS rel FROM labels JOIN (SELECT DISTINCT doc_id FROM documents) USING (doc_id) ORDER BY toxic DESC, doc_id LIMIT 40)"
+TOXIC_SEED = "toxic_seed AS (SELECT doc_id, toxic AS rel FROM labels JOIN (SELECT DISTINCT doc_id FROM documents) USING (doc_id) ORDER BY doc_id LIMIT 40)"
 
 
 @query(f"""WITH {TF}, {SEED}, {TOXIC_SEED}, {_steps_sql('quality', 'seed')}, {_steps_sql('toxic', 'toxic_seed', 'k')}
@@ -549,7 +549,7 @@ SELECT 'quality' AS topic, step, doc_id, rel FROM j{_STEPS} UNION ALL SELECT 'to
 def cal_topics(spark, sf_dir):
     """Both topics reviewed together, a step at a time."""
     labels, docs = _table(spark, sf_dir, "labels"), _docs(spark, sf_dir)
-    toxic = labels.join(docs, "doc_id", "left_semi").orderBy(F.desc("toxic"), "doc_id").limit(40).select(F.lit("toxic").alias("topic"), "doc_id", F.lit(1).alias("rank"))
+    toxic = labels.join(docs, "doc_id", "left_semi").orderBy("doc_id").limit(40).select(F.lit("toxic").alias("topic"), "doc_id", F.lit(1).alias("rank"))
     pool = _pool(spark, sf_dir, 30).select(F.lit("quality").alias("topic"), "doc_id", "rank").unionByName(toxic)
     done = review.run_topics(kept(_tf(spark, sf_dir)), pool, _topics(labels), depth=30, per_step=10, stop=review.Stop(found_all=False, max_steps=_STEPS), trainer=scoring.centroid_models)
     return done.judgments
