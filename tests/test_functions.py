@@ -1,9 +1,12 @@
 """Tokenizers, stems, hashes, primes and codecs."""
 
 import random
+import unicodedata
 import uuid
+from collections import Counter
 
 import pytest
+import regex
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -124,3 +127,17 @@ def test_pieces(spark):
     got = one(spark, "Hello world", tokens.tokenizer(f"pieces:{path}"))
     assert "".join(got).replace("\u2581", " ").strip() == "Hello world" and len(got) > 1
     assert one(spark, None, tokens.tokenizer(f"pieces:{path}")) is None
+
+
+def test_counted_ngrams_are_those_of_all_texts_in_bounded_memory(spark, monkeypatch):
+    texts = ["abc\r\nab", "ééx", "\U0001f1e9\U0001f1ea\U0001f468‍\U0001f469", "각각 가", "ﬁx Ⅷ", "", "a", None, "क्षि", "ab̈" * 9, "xyz" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for piece, most in ((1 << 16, 200_000), (4, 3)):  # both also where parts and counts are given out often
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        monkeypatch.setattr(tokens, "MOST_GRAMS", most)
+        for t in filter(None, texts):
+            whole = unicodedata.normalize("NFKC", t.lower())
+            assert [c for part in tokens.clusters(t) for c in part] == regex.findall(r"\X", whole)
+        for n in (1, 2, 3):
+            want = Counter(g for (gs,) in df.select(tokens.ngrams(F.col("text"), n)).collect() for g in gs or [])
+            assert {r.gram: r.n for r in tokens.ngram_counts(df, n).collect()} == want
