@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens
-from ..operators import index
-from ..session import kept
+from ..operators import index, scoring
+from ..session import MOST_NUMBERS, looked_up, placed, stored
 
 
 @dataclass
@@ -25,17 +25,16 @@ class Collection:
         """Writes the tables; a document id that occurs twice is an error."""
         own = index.reject_duplicates(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")))
         self = cls(docs.sparkSession, path)
-        tf = kept(index.term_frequencies(own, tokenize))
-        vocab, docmap = index.vocabulary(tf), index.docmap(own)
-        self._save(vocab, "vocab")
-        self._save(docmap, "docmap")
-        encoded = index.encoded(tf, self.vocab, self.docmap)
-        self._save(encoded.repartitionByRange("tok_id").sortWithinPartitions("tok_id", "doc_int"), "tf_by_token")
-        self._save(encoded.repartitionByRange("doc_int").sortWithinPartitions("doc_int", "tok_id"), "tf_by_document")
+        self._save(index.docmap(own), "docmap")
+        tf = stored(index.numbered_frequencies(placed(own, "doc_id"), self.docmap, tokenize))
+        self._save(index.vocabulary(tf), "vocab")
+        encoded = index.encoded(tf, self.vocab)
+        self._save(encoded.repartitionByRange("tok_id", "doc_int").sortWithinPartitions("tok_id", "doc_int"), "tf_by_token")
+        self._save(self.table("tf_by_token").repartitionByRange("doc_int").sortWithinPartitions("doc_int", "tok_id"), "tf_by_document")
         self._save(index.norms(tf), "norms")
         stats = index.corpus_stats(own, tf)
         self._save(stats, "stats")
-        self._save(index.document_idf(tf, own.count()), "idf")
+        self._save(self.norms.select("doc_id", F.log10(F.lit(own.count()) / F.col("num_features")).alias("idf")), "idf")
         return self
 
     @classmethod
@@ -94,7 +93,13 @@ class Collection:
 
     def tf(self) -> DataFrame:
         """(doc_id, token, tf)."""
-        return self.table("tf_by_token").join(self.vocab, "tok_id").join(self.docmap, "doc_int").select("doc_id", "token", "tf")
+        return self.table("tf_by_token").join(looked_up(self.vocab), "tok_id").join(looked_up(self.docmap), "doc_int").select("doc_id", "token", "tf")
+
+    def centroid_model(self, judged: DataFrame) -> DataFrame:
+        """(token, w) by ``judged`` (doc_id, rel): lists meet the judged documents by number, and only weights get their tokens."""
+        known = judged.join(self.docmap, "doc_id", "left").select("doc_int", "rel")  # judgments of unknown documents count for their side
+        weights = scoring.centroid_model(self.table("tf_by_token"), known, "tok_id", "doc_int", MOST_NUMBERS)
+        return weights.join(self.vocab, "tok_id").select("token", "w")
 
     def save_model(self, model: DataFrame, name: str) -> None:
         """``model``: topic, token, w, and step if there are several."""

@@ -235,3 +235,60 @@ def test_descent_equals_a_plain_loop(root_norms):
         if square > 1 / lam:
             w, square = w * np.sqrt(1 / lam / square), 1 / lam
     np.testing.assert_allclose(got, w, rtol=1e-8, atol=1e-8)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().rpartition("== Initial Plan ==")[2]
+
+
+def test_postings_are_neither_shuffled_by_document_nor_sorted_by_token(spark, docs, monkeypatch):
+    from gleaner import session
+
+    monkeypatch.setattr(session.small, "__defaults__", (1,))
+    monkeypatch.setattr(session.looked_up, "__defaults__", (1,))  # dictionaries too large to be broadcast
+    ids = index.docmap(docs)
+    tf = index.numbered_frequencies(session.placed(docs.select("doc_id", "text"), "doc_id"), ids)
+    assert plan(tf).count("Exchange") == 2 and "SortMergeJoin" not in plan(tf)  # of the texts and of the numbers
+    want = index.term_frequencies(docs).join(ids, "doc_id")
+    assert sorted(tf.collect()) == sorted(want.select(tf.columns).collect())
+    kept = session.stored(tf)
+    encoded = index.encoded(kept, index.vocabulary(kept))
+    assert "ShuffledHashJoin" in plan(encoded) and "Sort " not in plan(encoded)
+
+
+def test_gaps_over_segments(spark, monkeypatch):
+    monkeypatch.setattr(index, "SEGMENT", 4)
+    lists = {1: [1, 2, 3, 4, 5, 9, 30], 2: [6], 3: [2, 17, 18], 4: [4, 5]}
+    rows = [(k, d, 1 + (k + d) % 3) for k, v in lists.items() for d in v]
+    got = index.gaps(spark.createDataFrame(rows, "tok_id bigint, doc_int bigint, tf bigint"))
+    want = [(k, d, d - p, 1 + (k + d) % 3) for k, v in lists.items() for p, d in zip([0, *v], v, strict=False)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert plan(got).count("Exchange") <= 3  # the rows once, and the ends of segments
+
+
+def test_stored_tables_go_with_the_session(spark, docs):
+    from gleaner import session
+
+    got = session.stored(docs.select("doc_id"))
+    assert got.count() == docs.count() and "parquet" in plan(got).lower()
+
+
+def test_numbers_of_many_partitions(spark):
+    got = index.numbered(spark.range(1000).repartitionByRange(50, "id").sortWithinPartitions("id"), "n")
+    assert all(r.n == r.id + 1 for r in got.collect()) and got.count() == 1000
+    assert "map(" not in plan(got)
+
+
+def test_a_collection_weighs_lists_by_number(spark, docs, judged, tmp_path):
+    from gleaner.functions import tokens
+
+    c = Collection.build(docs, str(tmp_path / "w"), tokens.words)
+    mine = judged.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(spark.createDataFrame([("none", 1)], "doc_id string, rel int"))
+    assert sorted(c.centroid_model(mine).collect()) == sorted(scoring.centroid_model(c.tf(), mine).collect())
+
+
+def test_scores_of_several_topics_in_one_pass(spark, docs, tf):
+    models = spark.createDataFrame([("a", "the", 1.5), ("b", "the", -2.0), ("b", "of", 0.25), ("c", "of", 9.0), ("a", "in", 0.0)], "topic string, token string, w double")
+    got = sorted(map(tuple, scoring.by_topics(docs, tf, models, ("a", "b")).collect()))
+    want = [(t, r.doc_id, r.score) for t in ("a", "b") for r in scoring.by_scan(docs, tf, models.where(F.col("topic") == t).drop("topic")).collect()]
+    assert got == sorted(want)
