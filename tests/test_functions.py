@@ -141,3 +141,25 @@ def test_counted_ngrams_are_those_of_all_texts_in_bounded_memory(spark, monkeypa
         for n in (1, 2, 3):
             want = Counter(g for (gs,) in df.select(tokens.ngrams(F.col("text"), n)).collect() for g in gs or [])
             assert {r.gram: r.n for r in tokens.ngram_counts(df, n).collect()} == want
+
+
+def test_lists_as_arrays_are_the_plain_codec(spark):
+    import numpy as np
+    import pandas as pd
+
+    r = random.Random(3)
+    for _ in range(300):
+        lists = [None if r.random() < 0.1 else [(d, r.choice([1, 2, 3, 4, 7, 8, 11, 100, 20000])) for d in sorted(r.sample(range(1, r.choice([50, 2**33])), r.randint(0, 40)))] for _ in range(5)]
+        columns = [pd.Series([None if x is None else np.array([p[k] for p in x], np.int64) for x in lists], dtype=object) for k in (0, 1)]
+        data = list(codecs._encoded(*columns))
+        assert data == [None if x is None else codecs.encode_list(x) for x in lists]
+        for x, b in zip(lists, data, strict=True):
+            if x is not None:
+                assert list(zip(*(a.tolist() for a in codecs.decode_arrays(b)), strict=True)) == x
+                if len(b) > 1:
+                    with pytest.raises(ValueError):
+                        codecs.decode_arrays(b[:-1])
+    rows = [(1, [(3, 1), (90, 400)]), (2, []), (3, None), (4, [(i, 4 + i % 3) for i in range(1, 200)])]
+    df = spark.createDataFrame(rows, "k int, p array<struct<doc_int:bigint,tf:bigint>>")
+    back = df.withColumn("q", codecs.decoded_list(codecs.encoded_list(F.col("p.doc_int"), F.col("p.tf")))).collect()
+    assert all(x.p == x.q for x in back)
