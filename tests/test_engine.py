@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import tokens
 from gleaner.operators import index, review, scoring, training
 from gleaner.sources import files
 from gleaner.sources.collection import Collection
@@ -292,3 +293,31 @@ def test_scores_of_several_topics_in_one_pass(spark, docs, tf):
     got = sorted(map(tuple, scoring.by_topics(docs, tf, models, ("a", "b")).collect()))
     want = [(t, r.doc_id, r.score) for t in ("a", "b") for r in scoring.by_scan(docs, tf, models.where(F.col("topic") == t).drop("topic")).collect()]
     assert got == sorted(want)
+
+
+def test_stems_are_counted_before_they_are_rows(spark, monkeypatch):
+    many = "running runs ran relational " * 40
+    texts = [(1, "Running ponies runs"), (2, ""), (3, None), (1, "run 3rds 3RDS"), (None, "nobody's"), (None, "nobody"), (4, "\u00c9t\u00e9s \u65e5\u672c"), (1, "pony"), (5, many), (6, "a b c"), (5, "rate")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    want = {tuple(r) for r in index.term_frequencies(docs, tokens.stemmed_words).collect()}
+    assert (1, "run", 3) in want and (1, "poni", 2) in want and (None, "nobodi", 2) in want and (5, "run", 80) in want
+    for at_once, records in ((1 << 11, "10000"), (1, "10000"), (2, "1")):  # an id's texts in one part, in several, in several batches
+        monkeypatch.setattr(index, "TEXTS", at_once)
+        monkeypatch.setattr(index, "ROWS", at_once)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+        try:
+            got = [tuple(r) for r in index.stemmed_frequencies(docs).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and set(got) == want
+    named = docs.selectExpr("concat('d', doc_id) AS name", "text AS body")
+    assert {tuple(r) for r in index.stemmed_frequencies(named, "name", "body").collect()} == {(d and f"d{d}", t, n) for d, t, n in want}
+
+
+def test_stem_tf_shuffles_texts_and_no_words(spark, sf):
+    from gleaner.plans import queries
+
+    df = queries.stem_tf(spark, sf)
+    assert "Generate" not in plan(df) and "Aggregate" not in plan(df)
+    want = index.term_frequencies(queries._docs(spark, sf), tokens.stemmed_words)
+    assert sorted(df.collect()) == sorted(want.collect())
