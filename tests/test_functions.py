@@ -163,3 +163,23 @@ def test_lists_as_arrays_are_the_plain_codec(spark):
     df = spark.createDataFrame(rows, "k int, p array<struct<doc_int:bigint,tf:bigint>>")
     back = df.withColumn("q", codecs.decoded_list(codecs.encoded_list(F.col("p.doc_int"), F.col("p.tf")))).collect()
     assert all(x.p == x.q for x in back)
+
+
+def test_plain_ngrams_are_counted_before_they_are_rows(spark, monkeypatch):
+    from gleaner.plans import queries
+
+    texts = ["AbCabc", "", None, "a", "ab", "\u00e9\U0001f468\u200d\U0001f469 \U0001f468", "a\0b\0", "\0\0\0", "\u0130I", "xyz" * 50, "".join(map(chr, range(0x4E00, 0x5E00)))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (1, 2, 3, 6):
+        want = Counter(g for (gs,) in df.select(tokens.plain_ngrams(F.col("text"), n)).collect() for g in gs or [])
+        assert {r.gram: r.n for r in tokens.plain_ngram_counts(df, n).collect()} == want
+        lower = [r.t or "" for r in df.select(F.lower("text").alias("t")).collect()]
+        for run, bins in ((1 << 20, 1 << 22), (3, 1 << 22), (3, 1)):  # over the ends of parts, with and without bins
+            monkeypatch.setattr(tokens, "RUN", run)
+            monkeypatch.setattr(tokens, "MOST_BINS", bins)
+            assert sum((Counter(c) for c in tokens.windows(lower, n)), Counter()) == want
+    monkeypatch.setattr(tokens, "TEXTS", 2)
+    monkeypatch.setattr(tokens, "MOST_GRAMS", 3)
+    assert {r.gram: r.n for r in tokens.plain_ngram_counts(df, 6).collect()} == want
+    plan = queries.nghash_counts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Generate" not in plan
