@@ -301,8 +301,8 @@ def test_stems_are_counted_before_they_are_rows(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
     want = {tuple(r) for r in index.term_frequencies(docs, tokens.stemmed_words).collect()}
     assert (1, "run", 3) in want and (1, "poni", 2) in want and (None, "nobodi", 2) in want and (5, "run", 80) in want
-    for at_once, records in ((1 << 11, "10000"), (1, "10000"), (2, "1")):  # an id's texts in one part, in several, in several batches
-        monkeypatch.setattr(index, "TEXTS", at_once)
+    for at_once, records in ((1 << 20, "10000"), (1, "10000"), (5, "10000"), (2, "1")):  # an id's texts in one part, in several, in several batches
+        monkeypatch.setattr(index, "WORDS", at_once)
         monkeypatch.setattr(index, "ROWS", at_once)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
         try:
